@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.claims import LINK_THRESHOLD
 
-_ONE = F.lit(1)
-
 
 def _degree(edges: DataFrame, key: str, name: str) -> DataFrame:
-    return edges.groupBy(F.col(key).alias("user_id")).agg(F.count(_ONE).alias(name))
+    return edges.groupBy(F.col(key).alias("user_id")).agg(F.count(F.lit(1)).alias(name))
 
 
 def cluster_scores(
@@ -38,21 +36,21 @@ def cluster_scores(
     base = (
         reviews.filter(F.col("predicted_verdict") == "misinformation")
         .groupBy("claim_id")
-        .agg(F.count(_ONE).alias("n_reviews"))
+        .agg(F.count(F.lit(1)).alias("n_reviews"))
         .join(claims.filter("cluster >= 0").select("claim_id", "cluster"), "claim_id")
     )
     per_post = (
         links.filter(F.col("score") > threshold)
         .groupBy("post_id", "claim_id")
-        .agg(F.count(_ONE).alias("n_links"))
+        .agg(F.count(F.lit(1)).alias("n_links"))
         .join(base, "claim_id")
         .groupBy("cluster", "post_id")
         .agg(F.sum(F.col("n_links") * F.col("n_reviews")).alias("n_rows"))
     )
-    mentioned = post_mentions.groupBy("post_id").agg(F.count(_ONE).alias("m2"))
+    mentioned = post_mentions.groupBy("post_id").agg(F.count(F.lit(1)).alias("m2"))
     paths = (
         post_mentions.withColumnRenamed("user_id", "target")
-        .join(posted.groupBy("post_id").agg(F.count(_ONE).alias("n_posters")), "post_id")
+        .join(posted.groupBy("post_id").agg(F.count(F.lit(1)).alias("n_posters")), "post_id")
         .groupBy(F.col("target").alias("user_id"))
         .agg(F.sum("n_posters").alias("d5"))
     )
@@ -64,7 +62,7 @@ def cluster_scores(
         .join(paths, "user_id", "left")
         .fillna(0, ["m2", "d3", "d4", "d5"])
     )
-    m, a, b, c = (F.greatest(F.col(x), _ONE) for x in ("m2", "d3", "d4", "d5"))
+    m, a, b, c = (F.greatest(F.col(x), F.lit(1)) for x in ("m2", "d3", "d4", "d5"))
     poster = m * a * b * c
     combined = (
         poster + F.col("m2") * a * b * c + m * F.col("d3") * b * c + m * a * F.col("d4") * c + m * a * b * F.col("d5")
