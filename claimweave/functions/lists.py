@@ -12,17 +12,17 @@ STRINGS = "array<string>"
 def as_json(c: Column) -> Column:
     """Printed list -> JSON text: backslashes doubled, single quotes made double, and
     None / True / False outside of words turned into their JSON names."""
-    c = F.regexp_replace(c, r"\\", r"\\\\")
-    c = F.regexp_replace(c, "'", '"')
+    quoted = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit('"'))
+    named = quoted
     for name, json_name in (("None", "null"), ("True", "true"), ("False", "false")):
-        c = F.regexp_replace(c, rf"(?<=[:,\[] ?){name}(?=\s*[,\]}}])", json_name)
-    return c
+        named = F.regexp_replace(named, rf"([:,\[] ?){name}(?=\s*[,\]}}])", f"$1{json_name}")
+    # Most cells hold none of the three and skip their patterns.
+    return F.when(c.rlike("None|True|False"), named).otherwise(quoted)
 
 
 def _parse(c: Column, schema: str) -> Column:
-    text = as_json(c)
-    parsed = F.when(text.rlike(r"^\s*\["), F.from_json(text, schema))
-    empty = F.from_json(F.lit("[]"), schema)
+    parsed = F.when(F.startswith(F.ltrim(c), F.lit("[")), F.from_json(as_json(c), schema))
+    empty = F.array().cast(schema)
     return F.when(c.isNotNull(), F.coalesce(parsed, empty))
 
 

@@ -95,7 +95,7 @@ def search_posts(
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     window = clamp_window(from_date, to_date, now)
     if window is None:
-        return posts.limit(0)
+        return posts.filter(F.lit(False))
     out = posts.filter(~F.coalesce(F.col("is_ad"), F.lit(False)))
     if keyword is not None:
         for word in keyword.lower().split():

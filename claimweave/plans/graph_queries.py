@@ -436,7 +436,7 @@ def _(v: Views):
 
 
 def _wordless(v: Views):
-    """Posts by users from a thousand on, so that the smaller ids have none of their own."""
+    """Posts by well followed users, so that the others have none of their own."""
     return v.posted.join(v.users.filter("followers_count > 3000").select("user_id"), "user_id", "left_semi").select("user_id", "post_id")
 
 
@@ -513,7 +513,7 @@ def _(v: Views):
 )
 def _(v: Views):
     known = v.users.filter("followers_count > 3000").select("user_id")
-    users, _ = frontier.insert_replies(v.posts, known, v.replies.limit(0), v.replies)
+    users, _ = frontier.insert_replies(v.posts, known, v.replies.filter(F.lit(False)), v.replies)
     return users
 
 

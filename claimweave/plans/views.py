@@ -329,9 +329,10 @@ class Views:
     def popular_archive(self) -> dict[str, DataFrame]:
         return referenced(self.archive)
 
-    @property
+    @cached_property
     def nodes(self) -> dict[str, DataFrame]:
-        return archive_nodes(self.archive)
+        """Written once, as a load does before it builds the edges."""
+        return {name: cut_lineage(df) for name, df in archive_nodes(self.archive).items()}
 
     @property
     def edges(self) -> dict[str, DataFrame]:
