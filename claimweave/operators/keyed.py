@@ -56,6 +56,21 @@ def build_edge(
     return edges.select("src", "tgt")
 
 
+def join_skewed(big: DataFrame, dim: DataFrame, key: str, weight: str, hot: int = 10_000) -> DataFrame:
+    """Inner join with a table of unique keys that knows how often each key occurs.
+
+    The ``hot`` heaviest keys, a fixed number, are broadcast and their rows stay where they
+    are. Any other key holds at most one in ``hot`` of all rows, so the shuffled rest is
+    even. Both sides drop ``weight`` at the end.
+    """
+    heavy = dim.orderBy(F.desc(weight), key).limit(hot)
+    near = big.join(F.broadcast(heavy), key)
+    rest = big.join(F.broadcast(heavy.select(key)), key, "left_anti").join(
+        dim.join(F.broadcast(heavy.select(key)), key, "left_anti"), key
+    )
+    return near.unionByName(rest).drop(weight)
+
+
 def violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
     counted = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -69,26 +69,29 @@ def propagate_labels(
         .distinct()
     )
     key = ["size", "claim_id"]
-    open_edges = edges.join(seeds.select(*key, "pri"), key)
     # A seed without a post (linked through articles alone) founds its own label at once.
     founders = seeds.join(edges.select(*key), key, "left_anti").select(*key, "pri")
-    open_edges = cut_lineage(open_edges)
-    for _ in range(max_rounds):
-        if open_edges.isEmpty():
+    state = cut_lineage(edges.join(seeds.select(*key, "pri"), key))
+    for done in range(max_rounds):
+        if state.isEmpty():
             break
-        per_post = open_edges.groupBy("size", "post_id").agg(F.min("pri").alias("first"))
-        marked = open_edges.join(per_post, ["size", "post_id"]).persist()
+        first_seed = state.groupBy("size", "post_id").agg(F.min("pri").alias("first"))
+        marked = state.join(first_seed, ["size", "post_id"])
         per_claim = marked.groupBy(*key).agg(F.max("pri").alias("pri"), F.min("first").alias("first"))
-        new = cut_lineage(per_claim.filter("first = pri").select(*key, "pri"))
+        new = per_claim.filter("first = pri").select(*key, "pri")
         # Seeds on a post of a new founder are done: the founder itself and its neighbours.
-        taken = marked.join(
-            new.select("size", F.col("pri").alias("first")), ["size", "first"], "left_semi"
-        ).select(*key).distinct()
-        open_edges = cut_lineage(
-            open_edges.join(taken, key, "left_anti").select("size", "post_id", "claim_id", "pri")
+        taken = marked.join(new.select("size", F.col("pri").alias("first")), ["size", "first"], "left_semi")
+        still_open = state.join(taken.select(*key).distinct(), key, "left_anti")
+        # One table per round holds what is open and, without a post, who founded.
+        table = cut_lineage(
+            still_open.select("size", "post_id", "claim_id", "pri").unionByName(
+                new.withColumn("post_id", F.lit(None).cast("bigint"))
+            )
         )
-        marked.unpersist()
-        founders = founders.unionByName(new)
+        founders = founders.unionByName(table.filter("post_id IS NULL").select(*key, "pri"))
+        if done % 20 == 19:
+            founders = cut_lineage(founders)
+        state = table.filter("post_id IS NOT NULL")
     else:
         raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
     founders = cut_lineage(founders)

@@ -245,7 +245,7 @@ def _(v: Views):
 
 
 def _pages(v: Views):
-    rows = v.table("orders").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = v.texts("orders").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
     post = F.struct(
         F.col("o_orderkey").cast("string").alias("id"),
         F.col("o_custkey").cast("string").alias("author_id"),
@@ -324,7 +324,7 @@ def _(v: Views):
 
 
 def _responses(v: Views):
-    docs = v.table("documents")
+    docs = v.texts("documents")
     day = F.date_format(F.expr("timestamp'2024-01-01' + make_dt_interval(int(doc_id % 30))"), "yyyy-MM-dd")
     review = F.struct(
         F.struct(F.col("source").alias("site")).alias("publisher"),
@@ -445,7 +445,7 @@ def _(v: Views):
        FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id // 2""",
 )
 def _(v: Views):
-    claims = v.table("documents").selectExpr("doc_id AS claim_id", "concat('text ', doc_id div 2) AS claim_en")
+    claims = v.texts("documents").selectExpr("doc_id AS claim_id", "concat('text ', doc_id div 2) AS claim_en")
     clusters = v.table("embeddings").selectExpr(
         "concat('text ', vec_id) AS claim", "concat('c', label) AS label", "concat('w', vec_id) AS label_single",
         "label - 1 AS cluster", "vec_id AS row_no",
@@ -461,7 +461,7 @@ def _(v: Views):
     "SELECT page_id, regexp_replace(regexp_replace(url, '\\?.*', ''), '/$', '') AS url FROM pages",
 )
 def _(v: Views):
-    return v.table("pages").select("page_id", text.strip_url(F.col("url")).alias("url"))
+    return v.texts("pages").select("page_id", text.strip_url(F.col("url")).alias("url"))
 
 
 @query(
@@ -469,7 +469,7 @@ def _(v: Views):
     "SELECT page_id, url FROM pages WHERE NOT regexp_full_match(url, '" + "|".join(filters.NOT_ARTICLE) + "')",
 )
 def _(v: Views):
-    return v.table("pages").filter(filters.maybe_article(F.col("url"))).select("page_id", "url")
+    return v.texts("pages").filter(filters.maybe_article(F.col("url"))).select("page_id", "url")
 
 
 _ARTICLES = """
@@ -514,7 +514,7 @@ _ARTICLES = _ARTICLES.replace("TITLE AS title", f"{_tidy('raw_title')} AS title"
     ("sizes",),
 )
 def _(v: Views):
-    return nodes.article_tables(v.table("pages"))["article"].select("url", "title", "content")
+    return nodes.article_tables(v.texts("pages"))["article"].select("url", "title", "content")
 
 
 @query(
@@ -523,7 +523,7 @@ def _(v: Views):
     ("sizes",),
 )
 def _(v: Views):
-    return nodes.article_tables(v.table("pages"))["url_is_article"]
+    return nodes.article_tables(v.texts("pages"))["url_is_article"]
 
 
 @query(
@@ -532,7 +532,7 @@ def _(v: Views):
     ("sizes",),
 )
 def _(v: Views):
-    tables = nodes.article_tables(v.table("pages"))
+    tables = nodes.article_tables(v.texts("pages"))
     named = tables["article"].join(tables["url_is_article"].select("src", F.col("tgt").alias("url")), "url")
     return named.select(F.col("src").alias("url"), text.join_title(F.col("title"), F.col("content")).alias("doc"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimweave.operators import ego, expansion, frontier, graph_sql, keyed, labels, linking
 from claimweave.plans.registry import joined, query, score, stamp
-from claimweave.plans.views import TAU, Views
+from claimweave.plans.views import EGO_TAU, TAU, TOP, Views
 from claimweave.sources.release import similarity_scores
 
 # Linking.
@@ -295,7 +295,7 @@ _SCORES = f"""
         FROM has_reviewed r JOIN claims c ON c.claim_id = r.claim_id
         JOIN (SELECT post_id, claim_id, score FROM similar_edge UNION ALL SELECT post_id, claim_id, score FROM via_article) l
           ON l.claim_id = c.claim_id
-        WHERE r.predicted_verdict = 'misinformation' AND l.score > {TAU} AND c.cluster >= 0 GROUP BY ALL),
+        WHERE r.predicted_verdict = 'misinformation' AND l.score > {EGO_TAU} AND c.cluster >= 0 GROUP BY ALL),
     around AS (
         SELECT t.post_id, p.user_id AS u1, m.user_id AS u2
         FROM (SELECT DISTINCT post_id FROM base) t
@@ -314,7 +314,7 @@ _SCORES = f"""
     scores AS (
         SELECT b.cluster, CAST(sum(b.n * c.num) AS BIGINT) AS num_users, count(DISTINCT c.poster) AS distinct_users
         FROM base b JOIN counted c ON c.post_id = b.post_id GROUP BY b.cluster),
-    top AS (SELECT * FROM scores ORDER BY num_users DESC, cluster LIMIT 10)
+    top AS (SELECT * FROM scores ORDER BY num_users DESC, cluster LIMIT {TOP})
 """
 _EGO = (
     "has_reviewed", "claims", "similar_edge", "via_article", "posted", "post_mentions", "user_mentions", "links",
@@ -326,7 +326,7 @@ _SPREADERS = f""",
         FROM top t JOIN claims c ON c.cluster = t.cluster
         JOIN has_label h ON h.claim_id = c.claim_id
         JOIN label b ON b.label_id = h.label_id AND b.size = h.size AND b.verdict = 'misinformation'
-        JOIN links l ON l.claim_id = c.claim_id AND l.score > {TAU}
+        JOIN links l ON l.claim_id = c.claim_id AND l.score > {EGO_TAU}
         JOIN posted p ON p.post_id = l.post_id),
     ego_edge AS (
         SELECT s.cluster, s.user_id AS user1_id, m.tgt AS user2_id FROM spreader s JOIN user_mentions m ON m.src = s.user_id
@@ -336,7 +336,8 @@ _SPREADERS = f""",
         UNION SELECT s.cluster, m.src, s.user_id FROM spreader s JOIN user_mentions m ON m.tgt = s.user_id
         UNION SELECT s.cluster, p.user_id, s.user_id FROM spreader s JOIN post_mentions m ON m.user_id = s.user_id
               JOIN posted p ON p.post_id = m.post_id),
-    touched AS (SELECT cluster, user1_id AS user_id FROM ego_edge UNION SELECT cluster, user2_id FROM ego_edge)
+    touched AS (SELECT cluster, user1_id AS user_id FROM ego_edge UNION SELECT cluster, user2_id FROM ego_edge),
+    related AS (SELECT user_id FROM touched WHERE user_id IN (SELECT user_id FROM users))
 """
 
 
@@ -346,27 +347,18 @@ def _ego_sql(body: str) -> str:
     return with_views(_SCORES.replace("WITH_PLACEHOLDER", ",") + _SPREADERS + body, *_EGO)
 
 
-def _scores(v: Views):
-    both = v.similar_edge.select("post_id", "claim_id", "score").unionByName(v.via_article)
-    return ego.cluster_scores(v.claims, v.has_reviewed, both, v.posted, v.post_mentions, v.user_mentions, TAU)
-
-
-def _spreaders(v: Views):
-    return ego.spreaders(ego.top_clusters(_scores(v)), v.claims, v.labels, v.has_label, v.links, v.posted, TAU)
-
-
 def _ego_edges(v: Views):
-    return ego.ego_edges(_spreaders(v), v.posted, v.post_mentions, v.user_mentions)
+    return ego.ego_edges(v.spreaders, v.posted, v.post_mentions, v.user_mentions)
 
 
 @query("top_clusters")
 def _(v: Views):
-    return ego.top_clusters(_scores(v))
+    return ego.top_clusters(v.cluster_scores(), TOP)
 
 
 @query("cluster_spreaders")
 def _(v: Views):
-    return _spreaders(v)
+    return v.find_spreaders()
 
 
 @query("ego_edges")
@@ -381,7 +373,7 @@ def _(v: Views):
 
 @query("unrelated_edges")
 def _(v: Views):
-    related = ego.touched_users(_spreaders(v).selectExpr("user_id AS user1_id", "user_id AS user2_id"))
+    related = ego.ego_features(_ego_edges(v), v.users).select("user_id")
     return ego.unrelated_edges(v.posts.filter("text IS NOT NULL"), v.posted, v.post_mentions, v.user_mentions, related)
 
 
@@ -399,7 +391,7 @@ def _ego_oracles():
         """SELECT * FROM (
                SELECT p.user_id AS user1_id, m.tgt AS user2_id FROM posted p JOIN user_mentions m ON m.src = p.user_id
                UNION SELECT p.user_id, m.user_id FROM posted p JOIN post_mentions m ON m.post_id = p.post_id)
-           WHERE user1_id NOT IN (SELECT user_id FROM spreader) AND user2_id NOT IN (SELECT user_id FROM spreader)"""
+           WHERE user1_id NOT IN (SELECT user_id FROM related) AND user2_id NOT IN (SELECT user_id FROM related)"""
     )
 
 

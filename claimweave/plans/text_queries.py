@@ -39,8 +39,8 @@ _CLEAN_POST = _TRIM.format(
     f"SELECT 'd' || doc_id AS id, {_CLEAN_POST} AS text FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, {_CLEAN_POST} FROM conversations",
 )
 def _(v: Views):
-    docs = v.table("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
-    turns = v.table("conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
+    docs = v.texts("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    turns = v.texts("conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
     return docs.union(turns).select("id", text.clean_post(F.col("text")).alias("text"))
 
 
@@ -54,7 +54,7 @@ _SEARCH_TEXT = """regexp_replace(text, '[,.“"0-9]', '', 'g')"""
 
 @query("clean_search_text", f"SELECT doc_id, {_SEARCH_TEXT} AS text FROM documents")
 def _(v: Views):
-    return v.table("documents").select("doc_id", text.clean_search_text(F.col("text")).alias("text"))
+    return v.texts("documents").select("doc_id", text.clean_search_text(F.col("text")).alias("text"))
 
 
 @query(
@@ -118,7 +118,7 @@ def _top_terms(source: str, key: str) -> str:
 
 @query("keywords_top5", _top_terms("documents", "doc_id") + "SELECT id AS doc_id, term, round(score, 6) AS score FROM best", ("sizes",))
 def _(v: Views):
-    return terms.keywords(v.table("documents"), "doc_id", "text").select("doc_id", "term", score("score"))
+    return terms.keywords(v.texts("documents"), "doc_id", "text").select("doc_id", "term", score("score"))
 
 
 def _claim_terms(v: Views):
@@ -159,7 +159,7 @@ def _(v: Views):
     WHERE r.upto <= 60 OR r.rn = 1 GROUP BY r.doc_id""",
 )
 def _(v: Views):
-    return terms.summaries(v.table("documents"), "doc_id", "text", max_tokens=60)
+    return terms.summaries(v.texts("documents"), "doc_id", "text", max_tokens=60)
 
 
 # Translation through a memory that the tables themselves fill.
@@ -175,7 +175,7 @@ MEMORY_LANGUAGES = ("de", "en", "es", "fr")
     SELECT doc_id, source, lang, m.translated FROM documents d LEFT JOIN memory m ON m.text = d.source AND m.target = d.lang""",
 )
 def _(v: Views):
-    docs = v.table("documents")
+    docs = v.texts("documents")
     good = v.table("labels").filter("quality = 1").select("doc_id")
     memory = docs.join(good, "doc_id", "left_semi").selectExpr(
         "source AS text", "lang AS target", "concat(lang, ':', source) AS translated"
@@ -192,7 +192,7 @@ def _(v: Views):
     FROM lines GROUP BY doc_id""",
 )
 def _(v: Views):
-    docs = v.table("documents")
+    docs = v.texts("documents")
     lines = docs.select(F.explode(F.split("text", "\n")).alias("text")).filter("text <> '' AND NOT contains(text, '&')").distinct()
     memory = lines.select("text", F.lit("en").alias("target"), F.concat(F.lit("en:"), "text").alias("translated"))
     return translate.translate_lines(docs, "doc_id", "text", memory, "text_en")

@@ -15,15 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import text
+from claimweave.operators import ego
 from claimweave.operators import labels as lab
 from claimweave.operators import linking
 from claimweave.operators.filters import referenced
 from claimweave.operators.nodes import archive_edges, archive_nodes
-from claimweave.session import cut_lineage
+from claimweave.session import cut_lineage, widen
 
 # The test vectors are almost orthogonal, so the three sizes get lower thresholds here.
 SIZES = {"small": 0.25, "medium": 0.20, "large": 0.15}
 TAU = SIZES["large"]
+# Ego networks: links this strong, and so many top clusters of the nine.
+EGO_TAU = SIZES["small"]
+TOP = 5
 
 
 class Views:
@@ -34,6 +38,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table whose cells are parsed at length."""
+        return widen(self.table(name))
+
     # Claims, posts and reviews.
 
     @property
@@ -133,6 +141,21 @@ class Views:
     def linked(self) -> DataFrame:
         return cut_lineage(linking.linked_posts(self.links, self.has_label, TAU))
 
+    def cluster_scores(self) -> DataFrame:
+        both = self.similar_edge.select("post_id", "claim_id", "score").unionByName(self.via_article)
+        return ego.cluster_scores(
+            self.claims, self.has_reviewed, both, self.posted, self.post_mentions, self.user_mentions, EGO_TAU
+        )
+
+    def find_spreaders(self) -> DataFrame:
+        top = ego.top_clusters(self.cluster_scores(), TOP)
+        return ego.spreaders(top, self.claims, self.labels, self.has_label, self.links, self.posted, EGO_TAU)
+
+    @cached_property
+    def spreaders(self) -> DataFrame:
+        """Written once: the ego queries each use it several times."""
+        return cut_lineage(self.find_spreaders())
+
     # The social graph.
 
     def _events(self, kind: str) -> DataFrame:
@@ -173,7 +196,7 @@ class Views:
 
     @property
     def post_mentions(self) -> DataFrame:
-        return self.table("lineitem").selectExpr("l_orderkey AS post_id", "l_suppkey AS user_id").distinct()
+        return self.table("lineitem").selectExpr("l_orderkey AS post_id", "l_partkey AS user_id").distinct()
 
     def _pairs(self, kind: str) -> DataFrame:
         return self._events(kind).filter("user_id <> k").select(F.col("user_id").alias("src"), F.col("k").alias("tgt")).distinct()
@@ -209,7 +232,7 @@ class Views:
 
     @property
     def raw_tweets(self) -> DataFrame:
-        rows = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        rows = self.texts("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         return rows.selectExpr(
             "cast(l_orderkey AS string) AS id",
             "cast(o_custkey AS string) AS author_id",
@@ -239,7 +262,7 @@ class Views:
 
     @property
     def raw_authors(self) -> DataFrame:
-        rows = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        rows = self.texts("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         return rows.selectExpr(
             "cast(c_custkey AS string) AS id",
             "c_name AS username",
@@ -304,7 +327,7 @@ class Views:
     def raw_replies(self) -> DataFrame:
         from claimweave.schemas import POST_COLUMNS, conform
 
-        rows = self.table("conversations").selectExpr(
+        rows = self.texts("conversations").selectExpr(
             "cast(conv_id * 10 + turn AS string) AS id",
             "cast(conv_id AS string) AS conversation_id",
             "text",
@@ -343,7 +366,7 @@ class Views:
     @property
     def reviewed_texts(self) -> DataFrame:
         """Labelled documents as claim rows; the verdict text is the document text."""
-        return self.table("documents").join(self.table("labels"), "doc_id").selectExpr(
+        return self.texts("documents").join(self.table("labels"), "doc_id").selectExpr(
             "concat('claim ', doc_id) AS claim",
             "date_format(timestamp'2024-01-01' + make_dt_interval(int(doc_id % 30)), 'yyyy-MM-dd') AS date",
             "source AS source",
@@ -357,7 +380,7 @@ class Views:
 
     @property
     def dated_documents(self) -> DataFrame:
-        return self.table("documents").selectExpr(
+        return self.texts("documents").selectExpr(
             "doc_id AS post_id",
             "timestamp'2024-01-01' + make_dt_interval(int(doc_id % 30), int(doc_id % 24)) AS created_at",
             "text",
@@ -492,7 +515,7 @@ SQL: dict[str, tuple[list[str], str]] = {
         FROM orders"""),
     "posted": ([], "SELECT o_custkey AS user_id, o_orderkey AS post_id FROM orders"),
     "has_hashtag": ([], "SELECT DISTINCT l_orderkey AS post_id, l_partkey AS name FROM lineitem"),
-    "post_mentions": ([], "SELECT DISTINCT l_orderkey AS post_id, l_suppkey AS user_id FROM lineitem"),
+    "post_mentions": ([], "SELECT DISTINCT l_orderkey AS post_id, l_partkey AS user_id FROM lineitem"),
     "user_mentions": ([], _events_sql("view", f"DISTINCT user_id AS src, {_K} AS tgt", f"AND user_id <> {_K}")),
     "follows": ([], _events_sql("signup", f"DISTINCT user_id AS src, {_K} AS tgt", f"AND user_id <> {_K}")),
     "retweeted": ([], _events_sql("click", f"DISTINCT user_id, {_K} AS post_id")),
