@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions import lists
+from claimweave.functions.numbers import to_integer, whole
 
 # URLs that are not articles, as full-string patterns.
 NOT_ARTICLE = [
@@ -23,7 +24,7 @@ RETWEETS = "`public_metrics.retweet_count`"
 
 def popular_posts(tweets: DataFrame, min_retweets: int = 5) -> DataFrame:
     """Posts whose retweet count is a whole number of at least ``min_retweets``."""
-    return tweets.filter(F.col(RETWEETS).try_cast("bigint") >= min_retweets)
+    return tweets.filter(whole(F.col(RETWEETS)) >= min_retweets)
 
 
 def referenced(dfs: dict[str, DataFrame], min_retweets: int = 5) -> dict[str, DataFrame]:
@@ -36,15 +37,17 @@ def referenced(dfs: dict[str, DataFrame], min_retweets: int = 5) -> dict[str, Da
     posts = popular_posts(dfs["tweets"], min_retweets)
     out["tweets"] = posts
 
-    def keep(table: str, key: str, refs: DataFrame) -> None:
-        out[table] = dfs[table].join(refs.toDF("_ref").dropna().distinct(), F.col(f"`{key}`") == F.col("_ref"), "left_semi")
+    def keep(table: str, key: str, refs: DataFrame, number: bool = False) -> None:
+        as_key = to_integer if number else (lambda c: c)
+        refs = refs.toDF("_ref").select(as_key(F.col("_ref")).alias("_ref")).dropna().distinct()
+        out[table] = dfs[table].join(refs, as_key(F.col(f"`{key}`")) == F.col("_ref"), "left_semi")
 
     mentioned = posts.select(F.explode(lists.field(F.col("`entities.mentions`"), "id")))
-    keep("authors", "id", posts.select("author_id").union(mentioned))
+    keep("authors", "id", posts.select("author_id").union(mentioned), number=True)
     keep("places", "id", posts.select("`geo.place_id`"))
     keep("media", "media_key", posts.select(F.explode(lists.strings(F.col("`attachments.media_keys`")))))
     keep("polls", "id", posts.select(F.explode(lists.strings(F.col("`attachments.poll_ids`")))))
-    keep("replies", "conversation_id", posts.select("conversation_id"))
+    keep("replies", "conversation_id", posts.select("conversation_id"), number=True)
     return out
 
 

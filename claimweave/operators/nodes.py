@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import html, lists, text
 from claimweave.functions.claims import box_center, day_text
+from claimweave.functions.numbers import to_integer
 from claimweave.operators.filters import maybe_article
 from claimweave.operators.keyed import build_edge, upsert_first, upsert_last, violations
 
@@ -25,7 +26,7 @@ def _c(name: str) -> Column:
 
 
 def _int(name: str) -> Column:
-    return _c(name).try_cast("bigint")
+    return to_integer(_c(name))
 
 
 def _bool(name: str) -> Column:
