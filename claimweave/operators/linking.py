@@ -9,38 +9,33 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.claims import LINK_THRESHOLD, window_start
 
-_CHUNK = 1024
 
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False)
-    m = flat.astype(np.float64).reshape(len(column), -1)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
-
-
-def _score_block(threshold: float):
+def _score_block(threshold: float, strip: int = 1024):
     """Score one block of claims against one block of items, a strip at a time, and give
-    only the pairs above the threshold."""
+    only the pairs above the threshold. Self-contained, so that workers need numpy and
+    pyarrow but not this package."""
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False)
+        m = flat.astype(np.float64).reshape(len(column), -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
     def run(claims: pa.Table, items: pa.Table) -> pa.Table:
-        hits: list[tuple[np.ndarray, ...]] = []
+        hits = [(np.array([], "int64"), np.array([], "int64"), np.array([], "float64"))]
         if claims.num_rows and items.num_rows:
-            c, p = _matrix(claims["vec"]), _matrix(items["vec"])
+            c, p = unit(claims["vec"]), unit(items["vec"])
             lo, hi = claims["lo"].to_numpy(), claims["hi"].to_numpy()
             at = items["at"].to_numpy()
             claim_ids, item_ids = claims["claim_id"].to_numpy(), items["item_id"].to_numpy()
-            for start in range(0, len(p), _CHUNK):
-                end = start + _CHUNK
+            for start in range(0, len(p), strip):
+                end = start + strip
                 scores = p[start:end] @ c.T
                 when = at[start:end, None]
                 i, j = np.nonzero((scores > threshold) & (when >= lo) & (when <= hi))
                 hits.append((item_ids[start:end][i], claim_ids[j], scores[i, j]))
-        if hits:
-            ids, cids, scores = (np.concatenate(x) for x in zip(*hits))
-        else:
-            ids, cids, scores = np.array([], "int64"), np.array([], "int64"), np.array([], "float64")
-        return pa.table({"item_id": ids, "claim_id": cids, "score": scores})
+        item_id, claim_id, score = (np.concatenate(x) for x in zip(*hits))
+        return pa.table({"item_id": item_id, "claim_id": claim_id, "score": score})
 
     return run
 
