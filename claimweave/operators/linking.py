@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.claims import LINK_THRESHOLD, window_start
 
 
-def _score_block(threshold: float, strip: int = 1024):
+def _score_block(threshold: float, strip: int = 256):
     """Score one block of claims against one block of items, a strip at a time, and give
     only the pairs above the threshold. Self-contained, so that workers need numpy and
     pyarrow but not this package."""
@@ -46,7 +46,7 @@ def link_by_cosine(
     threshold: float = LINK_THRESHOLD,
     window_days: int = 3,
     existing: DataFrame | None = None,
-    block_rows: int = 4096,
+    block_rows: int = 16384,
 ) -> DataFrame:
     """``(item_id, claim_id, score)`` of all pairs whose cosine is above ``threshold`` and
     whose item time lies in ``[date - window_days, date]``.
@@ -59,6 +59,9 @@ def link_by_cosine(
     and item blocks of about ``block_rows`` rows, so a hot day becomes many tasks of equal,
     bounded size, and a task multiplies two dense blocks. Pairs below the threshold are
     never turned into rows. All pairs in the window are examined.
+
+    A row is copied once per block of the other side, so larger blocks shuffle less; a task
+    holds two blocks of vectors and one strip of scores in memory.
     """
     c = claims.filter(F.col("embedding").isNotNull() & F.col("date").isNotNull()).select(
         F.col("claim_id").cast("bigint"),

@@ -38,7 +38,7 @@ def _(v: Views):
 
 
 @query(
-    "embed_worklist",
+    "link_new_pairs",
     f"""SELECT post_id, claim_id, round(score, 6) AS score FROM similar_edge s
         WHERE NOT EXISTS (SELECT 1 FROM via_article a WHERE a.post_id = s.post_id AND a.claim_id = s.claim_id)""",
     ("similar_edge", "via_article"),

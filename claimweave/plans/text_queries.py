@@ -75,6 +75,16 @@ def _(v: Views):
     return annotation.query_terms(part.select("p_name"), part.select("p_brand"))
 
 
+@query(
+    "embed_worklist",
+    """SELECT doc_id FROM documents d WHERE NOT contains(text, '&') AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)""",
+)
+def _(v: Views):
+    vectors = v.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = v.texts("documents").withColumn("not_translatable", F.contains("text", F.lit("&"))).join(vectors, "doc_id", "left")
+    return filters.worklist(docs, ["text"], "embedding", "not_translatable").select("doc_id")
+
+
 # Search, keywords, summaries.
 
 

@@ -131,7 +131,7 @@ def test_the_whole_run(spark, graph):
     jobs.dump_claim_embeddings(t, f"{root}/vectors")
     assert spark.read.parquet(f"{root}/vectors").count() == 2
     jobs.dump_ego_networks(t, f"{root}/ego")
-    assert rows(spark.read.csv(f"{root}/ego/pos_node", header=True), "cluster", "user_id") == [("1", "1"), ("1", "2")]
+    assert rows(spark.read.csv(f"{root}/ego/pos_node", header=True), "cluster", "user_id") == [(1, "1"), (1, "2")]
     assert (root / "ego" / "unrelated" / "graph").exists() and (root / "ego" / "graph").exists()
     jobs.cache_post_embeddings(t, f"{root}/cache")
     assert "embedding" not in t.read("post").columns and spark.read.parquet(f"{root}/cache").count() == 3
