@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.claims import LINK_THRESHOLD
 from claimweave.operators.keyed import batch_ids, insert_absent, undirected
+from claimweave.session import cut_lineage
 
 
 def posts_above(links: DataFrame, threshold: float = LINK_THRESHOLD) -> DataFrame:
@@ -71,7 +72,7 @@ def timelines(
     todo = (
         users.groupBy("user_id").agg(F.min("kind").alias("kind")).join(posted.select("user_id"), "user_id", "left_anti")
     )
-    return batch_ids(todo, "user_id", size, ["kind"])
+    return batch_ids(cut_lineage(todo), "user_id", size, ["kind"])
 
 
 def insert_follows(users: DataFrame, follows: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:

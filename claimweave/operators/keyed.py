@@ -101,7 +101,8 @@ def running_before(
     would put a whole group into one task. Here rows are cut at quantiles of ``order``;
     only the totals of the cuts, at most ``parts`` per ``lead`` value, go through a window
     over the group, and each cut is summed on its own. Any cut points give the same
-    result; they only decide the balance.
+    result; they only decide the balance. ``df`` is read three times and should be a written
+    table when it is dear to compute.
     """
     cuts = split_points(df, order, parts)
     bucket = F.lit(0)

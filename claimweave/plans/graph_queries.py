@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimweave.operators import ego, expansion, frontier, graph_sql, keyed, labels, linking
 from claimweave.plans.registry import joined, query, score, stamp
 from claimweave.plans.views import EGO_TAU, TAU, TOP, Views
+from claimweave.session import cut_lineage
 from claimweave.sources.release import similarity_scores
 
 # Linking.
@@ -373,7 +374,7 @@ def _(v: Views):
 
 @query("unrelated_edges")
 def _(v: Views):
-    related = ego.ego_features(_ego_edges(v), v.users).select("user_id")
+    related = cut_lineage(ego.ego_features(_ego_edges(v), v.users).select("user_id").distinct())
     return ego.unrelated_edges(v.posts.filter("text IS NOT NULL"), v.posted, v.post_mentions, v.user_mentions, related)
 
 

@@ -13,7 +13,7 @@ from claimweave.operators import annotation, filters, linking, models, terms, tr
 from claimweave.operators.annotation import LANGUAGES
 from claimweave.plans.registry import query, score
 from claimweave.plans.views import Views
-from claimweave.session import shared_dir
+from claimweave.session import cut_lineage, shared_dir
 from claimweave.streaming.incremental import upsert_stream
 
 _TRIM = "trim({}, E' \\n\\t\\r')"
@@ -374,7 +374,7 @@ def _(v: Views):
     """Documents as claims against documents as posts, at the real threshold: copies and
     near copies that are not younger than the claim."""
     docs = models.embed(v.dated_documents.select("post_id", "created_at", "text"), "text", text.clean_post, 512)
-    docs = docs.select("post_id", "created_at", "embedding")
+    docs = cut_lineage(docs.select("post_id", "created_at", "embedding"))
     c = docs.select(F.col("post_id").alias("claim_id"), F.col("created_at").alias("date"), "embedding")
     return linking.link_by_cosine(c, docs.withColumnRenamed("post_id", "item_id")).select(
         F.col("item_id").alias("post_id"), "claim_id", score("score")

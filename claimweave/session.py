@@ -48,14 +48,25 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _own_tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from the written copy. A lost
     executor then costs no recomputation, and the planner knows the true size."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{_own_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediate_tables(spark: SparkSession) -> None:
+    """Delete what :func:`cut_lineage` wrote in this application, once its results are
+    written elsewhere."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(_own_tables(spark))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def widen(scan: DataFrame) -> DataFrame:
     """Spread a plain file scan over all cores before heavy work on its rows.
 

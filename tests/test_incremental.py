@@ -86,3 +86,12 @@ def test_shared_folder_is_needed_off_local(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="share"):
         session.shared_dir(Session())
+
+
+def test_written_tables_and_their_removal(spark, tmp_path):
+    from claimweave.session import cut_lineage, drop_intermediate_tables, shared_dir
+
+    cut = cut_lineage(spark.createDataFrame([(1, "a")], "id bigint, v string").filter("id < 0"))
+    assert cut.columns == ["id", "v"] and cut.count() == 0
+    assert shared_dir(spark) in cut.inputFiles()[0]
+    assert callable(drop_intermediate_tables)
