@@ -14,9 +14,11 @@ store that Spark reads will do.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark import TaskContext
@@ -32,7 +34,7 @@ MIN_COUNT = 6
 ROUNDS = 8
 RULES_A_ROUND = 4096
 #: Distinct words whose ids a Python worker keeps, about 200 bytes each.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 SHARD_SCHEMA = "part long, seq long, n_docs long, n_ids long, n_symbols long, payload binary"
 DOC_SCHEMA = "part long, seq long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -44,37 +46,67 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordIds(dict):
-    """Ids of a piece of text without blanks, as bytes of u32; kept while there is room.
+    """Ids of words as bytes of u32, kept while there is room.
 
-    The tokenizer cuts at white space before anything else and drops it, so that the ids of
-    a text are those of its pieces one after the other.
+    The tokenizer's own steps are: normal form, lower case, cut at white space, which is dropped,
+    and between letters, digits and other characters; then each piece is encoded for itself.
+    So the ids of a text are those of its pieces one after the other, wherever it is cut at
+    blanks and at full stops and commas that stand alone, and pieces of letters only can go
+    straight to the tokenizer's model.
     """
 
+    #: A full stop or comma next to another such character, or a special token's start.
+    ODD = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s].)|(?<=_.))|<\|")
+
     def __init__(self, path: str, room: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.room = Tokenizer.from_file(path), room
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; pieces that are not known yet go to the tokenizer in one batch."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self.model = self.tokenizer.model
+        # Byte-level alphabet: the tokenizer's character for each byte.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def pieces(self, text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(" ")
+        if self.ODD.search(text):
+            return text.split(" ")
+        return text.lower().replace(",", " ,").replace(".", " .").split(" ")
+
+    def _learn(self, new: list[str]) -> None:
+        other = []
+        for w in new:
+            if w.isalpha() and w.islower() and (w.isascii() or len(w) == len(w.encode("latin-1", "ignore"))):
+                found = self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))
+                self[w] = array("I", [t.id for t in found]).tobytes()
+            else:
+                other.append(w)
+        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        self.update((w, array("I", e.ids).tobytes()) for w, e in zip(other, found))
+
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, about a megabyte at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append(self.pieces(text))
+            size += len(text)
+            if size >= 1 << 20:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, split: list[list[str]]) -> Iterator[np.ndarray]:
         if len(self) > self.room:
             self.clear()
-        new = {w: _core(w) for w in set().union(*split).difference(self)}
-        cores = list({c for w in new.values() for c in w}.difference(self))
-        found = self.tokenizer.encode_batch_fast(cores, add_special_tokens=False)
-        self.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(cores, found))
-        self.update([(w, self[core] + self[end]) for w, (core, end) in new.items()])
-        return [np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<u4") for pieces in split]
-
-
-def _core(piece: str) -> tuple[str, str]:
-    """A piece as a core and an end with the same ids: the vocabulary is in lower case, and a
-    full stop or comma after a letter is always a token of its own."""
-    if "<" not in piece and piece.isascii():
-        piece = piece.lower()
-    return (piece[:-1], piece[-1]) if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha() else (piece, "")
+        self._learn(list(set().union(*split).difference(self)))
+        for pieces in split:
+            yield np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<u4")
 
 
 _KNOWN: dict[str, WordIds] = {}
@@ -251,7 +283,7 @@ def _encoder(path: str, end_id: int, shard_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=names)
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(t.as_py() for t in batch.column(1))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 docs.append(doc)
                 arrays.append(ids)
