@@ -18,7 +18,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark import TaskContext
@@ -31,7 +31,7 @@ SHARD_IDS = 1_000_000
 #: A pair becomes a rule if it occurs so often in its shard.
 MIN_COUNT = 6
 #: Rounds of replacement and new rules of one round.
-ROUNDS = 8
+ROUNDS = 5
 RULES_A_ROUND = 4096
 #: Distinct words whose ids a Python worker keeps, about 200 bytes each.
 CACHE_WORDS = 600_000
@@ -79,34 +79,27 @@ class WordIds(dict):
             return text.split(" ")
         return text.lower().replace(",", " ,").replace(".", " .").split(" ")
 
-    def _learn(self, new: list[str]) -> None:
-        other = []
-        for w in new:
-            if w.isalpha() and w.islower() and (w.isascii() or len(w) == len(w.encode("latin-1", "ignore"))):
-                found = self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))
-                self[w] = array("I", [t.id for t in found]).tobytes()
-            else:
-                other.append(w)
-        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        self.update((w, array("I", e.ids).tobytes()) for w, e in zip(other, found))
-
-    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, about a megabyte at a time."""
-        held, size = [], 0
-        for text in texts:
-            held.append(self.pieces(text))
-            size += len(text)
-            if size >= 1 << 20:
-                yield from self._encode(held)
-                held, size = [], 0
-        yield from self._encode(held)
-
-    def _encode(self, split: list[list[str]]) -> Iterator[np.ndarray]:
-        if len(self) > self.room:
+    def __missing__(self, w: str) -> bytes:
+        if w.isascii() and w.isalpha() and w.islower():
+            ids = [t.id for t in self.model.tokenize(w)]
+        elif w.isalpha() and w.islower() and self._latin(w):
+            ids = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))]
+        else:
+            ids = self.tokenizer.encode(w, add_special_tokens=False).ids
+        if len(self) >= self.room:
             self.clear()
-        self._learn(list(set().union(*split).difference(self)))
-        for pieces in split:
-            yield np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<u4")
+        self[w] = found = array("I", ids).tobytes()
+        return found
+
+    @staticmethod
+    def _latin(w: str) -> bool:
+        try:
+            return bool(w.encode("latin-1"))
+        except UnicodeEncodeError:
+            return False
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(text))), "<u4")
 
 
 _KNOWN: dict[str, WordIds] = {}
@@ -180,7 +173,9 @@ def repair(ids: np.ndarray, doc_starts: np.ndarray, base: int, rounds: int = ROU
 
 
 def _place(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(12)
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -283,8 +278,8 @@ def _encoder(path: str, end_id: int, shard_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=names)
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(t.as_py() for t in batch.column(1))):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = np.append(words.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
                 docs.append(doc)
                 arrays.append(ids)
                 held += len(ids)

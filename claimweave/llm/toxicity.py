@@ -22,8 +22,9 @@ WINDOW = 10
 #: Bytes of the two dictionaries. The toxic one is small, so that it holds little else.
 ORDINARY_BYTES = 16_384
 TOXIC_BYTES = 1_024
-#: A training passage is toxic if it consists of words that so many toxic documents have, and
-#: that are so many times as frequent among them as among ordinary ones.
+#: The toxic dictionary is trained on beginnings of words, of so many letters, that so many toxic
+#: documents have, after so many words, and so many times as often as ordinary ones.
+SHORTEST, LONGEST = 4, 10
 LEAST_DOCS = 5
 ODDS = 40
 #: Savings in bytes that count as a hit.
@@ -48,7 +49,7 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
 
 
 def compressors(model: Detector):
-    """Compressors with the ordinary dictionary, and with the toxic one before it."""
+    """Compressors with the ordinary dictionary, and with the toxic one after it."""
     import zstandard as zstd
 
     params = zstd.ZstdCompressionParameters(
@@ -60,7 +61,7 @@ def compressors(model: Detector):
         d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         return zstd.ZstdCompressor(dict_data=d, compression_params=params)
 
-    return with_dictionary(model.ordinary), with_dictionary(model.toxic + model.ordinary)
+    return with_dictionary(model.ordinary), with_dictionary(model.ordinary + model.toxic)
 
 
 def savings_features(parts: list[bytes], ordinary, toxic) -> list[float]:
@@ -73,6 +74,49 @@ def savings_features(parts: list[bytes], ordinary, toxic) -> list[float]:
     return [min(saved[0], 8.0), min(second, 8.0), float(saved.mean()), *shares, *counts, float(np.log(len(saved)))]
 
 
+def stem_of(word: str, stems: set[str]) -> str | None:
+    return next((word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1) if word[:n] in stems), None)
+
+
+def telling_stems(toxic: list[str], plain: list[str]) -> set[str]:
+    """Beginnings of words that tell toxic from ordinary text, each as long as nearly all words of
+    toxic text that begin like it agree."""
+    least = min(LEAST_DOCS, max(2, len(toxic) // 50))  # fewer where there are few toxic documents
+    odds = min(ODDS, len(plain)) * len(toxic) / len(plain)
+
+    def documents_with(texts: list[str], n: int, of: set[str] | None = None) -> Counter:
+        found: Counter = Counter()
+        for t in texts:
+            beginnings = {w[:n] for w in t.lower().split() if len(w) >= n}
+            found.update(beginnings if of is None else beginnings & of)
+        return found
+
+    counts = {n: documents_with(toxic, n) for n in range(SHORTEST, LONGEST + 1)}
+    stems: set[str] = set()
+    for n in range(SHORTEST, LONGEST + 1):
+        often = {p for p, c in counts[n].items() if c >= least and not stem_of(p, stems)}
+        in_plain = documents_with(plain, n, often)
+        stems |= {p for p in often if counts[n][p] + 0.1 > odds * (in_plain[p] + 0.5)}
+    # Copies of one document repeat all their words, but always after the same word.
+    before: dict[str, set[str]] = {p: set() for p in stems}
+    for t in toxic:
+        split = t.lower().split()
+        for previous, w in zip(["", *split], split):
+            if p := stem_of(w, stems):
+                before[p].add(previous)
+    longer = {}
+    for n in range(SHORTEST + 1, LONGEST + 1):
+        for p, c in counts[n].items():
+            if c > longer.get(p[:-1], ("", 0))[1]:
+                longer[p[:-1]] = (p, c)
+    out = set()
+    for p in (p for p, words in before.items() if len(words) >= least):
+        while p in longer and longer[p][1] >= 0.8 * counts[len(p)][p]:
+            p = longer[p][0]
+        out.add(p)
+    return out
+
+
 def train_detector(texts: list[tuple[str, int]]) -> Detector:
     """From a bounded list of (text, label). Without both classes nothing is toxic or all is."""
     import zstandard as zstd
@@ -81,15 +125,10 @@ def train_detector(texts: list[tuple[str, int]]) -> Detector:
     n = 8  # features
     if not toxic or not plain:
         return Detector(b"", b"", [0.0] * n, [1.0] * n, [0.0] * n + [5.0 if toxic else -5.0])
-    in_toxic = Counter(w for t in toxic for w in set(t.lower().split()))
-    in_plain = Counter(w for t in plain for w in set(t.lower().split()))
-
-    def telling(w: str) -> bool:
-        odds = (in_toxic[w] + 0.1) / len(toxic) / ((in_plain[w] + 0.5) / len(plain))
-        return in_toxic[w] >= min(LEAST_DOCS, len(toxic)) and odds > min(ODDS, len(plain))
-
-    words = [w.encode() for t in toxic for w in t.lower().split() if telling(w)]
-    passages = [b" " + b" ".join(words[i : i + 6]) + b" " for i in range(0, len(words), 6)]
+    stems = telling_stems(toxic, plain)
+    words = [x for t in toxic for w in t.lower().split() if (x := stem_of(w, stems))]
+    passages = [f" {' '.join(words[i : i + 6])} ".encode() for i in range(0, len(words), 6)]
+    distinct = f" {' '.join(sorted(stems))} ".encode() if stems else b""
     ordinary = [w for t in plain for w in windows(t)[:: max(1, len(plain) // 2000)]][:40_000]
 
     def trained(samples: list[bytes], size: int, **how) -> bytes:
@@ -98,7 +137,9 @@ def train_detector(texts: list[tuple[str, int]]) -> Detector:
         except zstd.ZstdError:  # too few samples to train on: they are the dictionary
             return b"".join(dict.fromkeys(samples))[:size]
 
-    model = Detector(trained(ordinary, ORDINARY_BYTES), trained(passages, TOXIC_BYTES, k=24, d=6), [], [], [])
+    # The trainer picks what pays most and cuts the rest: it is asked where not all stems fit.
+    toxic_part = distinct if len(distinct) <= TOXIC_BYTES else trained(passages, TOXIC_BYTES, k=24, d=6)
+    model = Detector(trained(ordinary, ORDINARY_BYTES), toxic_part, [], [], [])
     plain_c, toxic_c = compressors(model)
     x = np.array([savings_features(windows(t), plain_c, toxic_c) for t, _ in texts])
     mean, dev = x.mean(0), x.std(0) + 1e-6
