@@ -3,6 +3,7 @@ on ordinary text and with one that holds toxic text too; what the second saves t
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -157,15 +158,29 @@ def training_texts(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
     # About 3 * train_docs ids by construction, so that they may be broadcast.
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
     found = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    # Of a longer text only windows picked by a hash of their place go to the driver.
-    words = F.split("text", r"\s+")
-    kept = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.crc32((s.i / 40).cast("int").cast("string")) < F.lit(2**32) * F.lit(TRAIN_WORDS) / F.size(words))
-    short = F.when(F.size(words) <= TRAIN_WORDS, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s.w), " "))
-    return [(r.text, r.label) for r in found.select("doc_id", short.alias("text"), "label").orderBy("doc_id").collect()]
+    parts = found.mapInArrow(_some_words, "doc_id long, text string, label int").orderBy("doc_id")
+    return [(r.text, r.label) for r in parts.collect()]
+
+
+def _some_words(batches):
+    """Of a text of more than ``TRAIN_WORDS`` words, runs of 40 words picked by a hash of their
+    place in the text, about that many words."""
+    import pyarrow as pa
+
+    for batch in batches:
+        texts = []
+        for text in batch.column(1).to_pylist():
+            words = text.split()
+            share = 2**32 * TRAIN_WORDS / max(1, len(words))
+            runs = (words[i : i + 40] for i in range(0, len(words), 40) if zlib.crc32(str(i).encode()) < share)
+            texts.append(text if len(words) <= TRAIN_WORDS else " ".join(w for run in runs for w in run))
+        columns = [batch.column(0), pa.array(texts, pa.string()), batch.column(2)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "label"])
 
 
 def score_toxicity(docs: DataFrame, model: Detector) -> DataFrame:
-    """All columns of ``docs`` in ``row``, ``score`` and ``predicted``."""
+    """The columns of ``docs`` without the text, ``score`` and ``predicted``."""
+
     def rate(batches):
         import pyarrow as pa
 
