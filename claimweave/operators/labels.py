@@ -44,7 +44,6 @@ def propagate_labels(
     seeds: DataFrame,
     sizes: dict[str, float] = SIZES,
     priority: str = "id",
-    max_rounds: int = 10_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Greedy labels: go through the seeds in order; a seed without a label gets its own
     and hands it to every unlabelled claim that shares a post with it.
@@ -55,7 +54,8 @@ def propagate_labels(
 
     A seed founds a label exactly when no earlier seed that shares a post with it does, so
     founders are found in rounds: a seed that is the earliest open one on all its posts
-    founds, the open seeds next to it are out. Each round takes minima per post and then
+    founds, the open seeds next to it are out. Every round settles the earliest open seed at
+    least, so it ends by itself. Each round takes minima per post and then
     per claim, so its cost is linear in the links and no pair of claims is formed, however
     many claims share a post. ``priority='hash'`` orders the seeds at random (repeatably),
     which keeps the number of rounds small on long chains of ascending ids.
@@ -72,9 +72,8 @@ def propagate_labels(
     # A seed without a post (linked through articles alone) founds its own label at once.
     founders = seeds.join(edges.select(*key), key, "left_anti").select(*key, "pri")
     state = cut_lineage(edges.join(seeds.select(*key, "pri"), key))
-    for done in range(max_rounds):
-        if state.isEmpty():
-            break
+    done = 0
+    while not state.isEmpty():
         first_seed = state.groupBy("size", "post_id").agg(F.min("pri").alias("first"))
         marked = state.join(first_seed, ["size", "post_id"])
         per_claim = marked.groupBy(*key).agg(F.max("pri").alias("pri"), F.min("first").alias("first"))
@@ -89,11 +88,10 @@ def propagate_labels(
             )
         )
         founders = founders.unionByName(table.filter("post_id IS NULL").select(*key, "pri"))
-        if done % 20 == 19:
+        done += 1
+        if done % 20 == 0:
             founders = cut_lineage(founders)
         state = table.filter("post_id IS NOT NULL")
-    else:
-        raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
     founders = cut_lineage(founders)
 
     per_post = (

@@ -22,13 +22,13 @@ def _call(backend: Backend):
                     chunk = texts[i : i + BATCH]
                     try:
                         out, error = backend(chunk, target), None
-                    except RuntimeError as e:
+                    except Exception as e:
                         # One bad text must not lose its batch: try them one by one.
                         out, error = [], str(e)
                         for t in chunk:
                             try:
                                 out.append(backend([t], target)[0])
-                            except RuntimeError:
+                            except Exception:
                                 out.append(None)
                     yield pd.DataFrame(
                         {
