@@ -25,6 +25,8 @@ NODE_KEYS = {
     "post": ["post_id"], "user": ["user_id"], "hashtag": ["name"], "url": ["name"], "media": ["media_id"],
     "place": ["place_id"], "poll": ["poll_id"], "conversation": ["conversation_id"],
 }
+#: Folder of the fitted word weights, one for posts, claims and articles.
+_WEIGHTS = "embedding_weights"
 _EDGE = "src bigint, tgt bigint"
 _LINK = "post_id bigint, claim_id bigint, score double"
 _ARTICLE_LINK = "article_id bigint, claim_id bigint, score double"
@@ -49,20 +51,25 @@ def build_reviewer_list(responses: DataFrame) -> DataFrame:
 
 
 def fetch_posts(api_pages: DataFrame, root: str, prefix: str = "") -> int:
-    """API pages -> one archive folder per search; searches that have one are skipped.
-    Returns the number of searches written."""
+    """API pages -> archive tables with one folder per search; finished searches are skipped.
+    Returns the number of searches written.
+
+    A search is finished once the table ``done`` names it, which is written last. Each table
+    overwrites the folders of the searches at hand, so a run that failed half way is repaired
+    by the next one and nothing is there twice.
+    """
     spark = api_pages.sparkSession
+    done = Tables(spark, root)
     named = api_pages.withColumn("query", text.folder_name(F.lower("query"), prefix))
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/tweets")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        done = [s.getPath().getName().split("=", 1)[-1] for s in fs.listStatus(path)]
-        known = spark.createDataFrame([(d,) for d in done], "query string")
-        named = named.join(known, "query", "left_anti")
+    if done.exists("done"):
+        named = named.join(done.read("done"), "query", "left_anti")
     named = cut_lineage(named)
     for name, df in pages.flatten_api_pages(named).items():
-        df.write.mode("append").partitionBy("query").parquet(f"{root}/{name}")
-    return named.select("query").distinct().count()
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("query").parquet(f"{root}/{name}")
+    searches = cut_lineage(named.select("query").distinct())
+    done.insert("done", searches, ["query"])
+    return searches.count()
 
 
 def fetch_posts_for_claims(claims: DataFrame, posts: DataFrame, top_n: int = 5) -> DataFrame:
@@ -75,14 +82,19 @@ def fetch_posts_for_claims(claims: DataFrame, posts: DataFrame, top_n: int = 5)
 
 
 def populate(t: Tables, archive_root: str, start_from_scratch: bool = False, min_retweets: int = 5, queries: list[str] | None = None) -> None:
-    """Archive folders -> node and edge tables; ids that are there already win."""
-    load(t, archive.read_archive(t.spark, archive_root), start_from_scratch, min_retweets, queries)
+    """Archive folders (also those of :func:`fetch_posts`) -> node and edge tables; ids that are
+    there already win. Each landed
+    file is parsed once. Rows with more cells than their header go to ``rejected_<table>``."""
+    landed = {name: cut_lineage(archive.read_cells(t.spark, archive_root, name)) for name in archive.LOADED}
+    for name, df in landed.items():
+        t.replace(f"rejected_{name}", archive.rejected(df))
+    load(t, {name: archive.accepted(df) for name, df in landed.items()}, start_from_scratch, min_retweets, queries)
 
 
 def load(t: Tables, dfs: dict[str, DataFrame], start_from_scratch: bool = False, min_retweets: int = 5, queries: list[str] | None = None) -> None:
     if queries is not None:
         dfs = {n: df.filter(F.col("query").isin(queries)) for n, df in dfs.items()}
-    dfs = filters.referenced(dfs, min_retweets)
+    dfs = {n: cut_lineage(df) for n, df in filters.referenced(dfs, min_retweets).items()}
     fresh = nodes.archive_nodes(dfs)
     if start_from_scratch:
         t.drop(*fresh)
@@ -94,7 +106,8 @@ def load(t: Tables, dfs: dict[str, DataFrame], start_from_scratch: bool = False,
 
 
 def create_claims(t: Tables, folder: str, start_from_scratch: bool = False) -> None:
-    """Claim files -> claims, reviewers and reviews; the last row wins."""
+    """Claim files (also those of :func:`fetch_facts`) -> claims, reviewers and reviews; the last row wins. A claim that is there
+    already gets the landed columns and keeps its others (translation, cluster, embedding)."""
     if start_from_scratch:
         t.drop("claim", "reviewer", "has_reviewed")
     made = nodes.claim_tables(archive.read_claims(t.spark, folder))
@@ -103,10 +116,7 @@ def create_claims(t: Tables, folder: str, start_from_scratch: bool = False) -> N
     for name, df, keys in (
         ("claim", claims, ["claim"]), ("reviewer", made["reviewer"], ["url"]), ("has_reviewed", reviews, ["reviewer", "claim"])
     ):
-        if t.exists(name):
-            old = t.read(name).join(df.select(*keys), keys, "left_anti")
-            df = old.unionByName(df, allowMissingColumns=True)
-        t.replace(name, df)
+        t.update(name, df.dropna(subset=keys), keys)
     assert_unique(t.read("claim"), ["claim_id"])
 
 
@@ -143,10 +153,28 @@ def _rest(t: Tables, name: str, needs: list[str], out: str, start_from_scratch:
     return filters.worklist(df, needs, out, flag)
 
 
+def fit_embeddings(t: Tables, texts: DataFrame, dimensions: int = 512) -> PipelineModel:
+    """Fit the word weights of the default embedding on ``texts(doc)``, cleaned texts, and store
+    them with the graph. Vectors made under other weights do not compare; make them anew with
+    ``start_from_scratch``."""
+    model = models.fit_embedding(texts, "doc", dimensions=dimensions)
+    model.write().overwrite().save(f"{t.root}/{_WEIGHTS}")
+    return model
+
+
+def _weights(t: Tables, docs: DataFrame, clean, dimensions: int = 512) -> PipelineModel:
+    """The stored weights. The first texts that are embedded fit them, for all later ones."""
+    if t.has_file(f"{_WEIGHTS}/metadata/_SUCCESS"):
+        return PipelineModel.load(f"{t.root}/{_WEIGHTS}")
+    return fit_embeddings(t, docs.select(clean(F.col("doc")).alias("doc")), dimensions)
+
+
 def _embed(t: Tables, name: str, key: str, source: str, clean, start_from_scratch: bool, **options) -> int:
     rest = cut_lineage(_rest(t, name, [source], "embedding", start_from_scratch).select(key, F.col(source).alias("doc")))
     n = rest.count()
     if n:
+        if not options.keys() & {"encoder", "load_encoder"}:
+            options = {"weights": _weights(t, rest, clean, **options)}
         t.fill_property(name, models.embed(rest, "doc", clean, **options).select(key, "embedding"), key)
     return n
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.claims import LINK_THRESHOLD
 
+_WIDE = "decimal(38,0)"
+
 
 def _degree(edges: DataFrame, key: str, name: str) -> DataFrame:
     return edges.groupBy(F.col(key).alias("user_id")).agg(F.count(F.lit(1)).alias(name))
@@ -30,6 +34,8 @@ def cluster_scores(
     alone: each count is the product of all degrees, with an empty step counted as one row
     except where the step itself is being counted. ``distinct_users`` counts the posters.
 
+    Products of five counts outgrow 64 bits, so ``num_users`` is DECIMAL(38, 0).
+
     ``links`` may list a post and claim twice (direct and through an article).
     ``post_mentions(post_id, user_id)``, ``user_mentions(src, tgt)``.
     """
@@ -62,14 +68,17 @@ def cluster_scores(
         .join(paths, "user_id", "left")
         .fillna(0, ["m2", "d3", "d4", "d5"])
     )
-    m, a, b, c = (F.greatest(F.col(x), F.lit(1)) for x in ("m2", "d3", "d4", "d5"))
-    poster = m * a * b * c
-    combined = (
-        poster + F.col("m2") * a * b * c + m * F.col("d3") * b * c + m * a * F.col("d4") * c + m * a * b * F.col("d5")
-    )
-    rows = F.when(F.col("user_id").isNotNull(), combined).otherwise(F.col("m2"))
+    def times(x, y):
+        return (x * y).cast(_WIDE)
+
+    degrees = [F.col(x).cast(_WIDE) for x in ("m2", "d3", "d4", "d5")]
+    at_least_one = [F.greatest(x, F.lit(1).cast(_WIDE)) for x in degrees]
+    combined = reduce(times, at_least_one)
+    for i, x in enumerate(degrees):
+        combined = combined + reduce(times, [*at_least_one[:i], x, *at_least_one[i + 1 :]])
+    rows = F.when(F.col("user_id").isNotNull(), combined).otherwise(degrees[0])
     return wide.groupBy("cluster").agg(
-        F.sum(F.col("n_rows") * rows).alias("num_users"), F.countDistinct("user_id").alias("distinct_users")
+        F.sum(times(F.col("n_rows").cast(_WIDE), rows.cast(_WIDE))).cast(_WIDE).alias("num_users"), F.countDistinct("user_id").alias("distinct_users")
     )
 
 

@@ -313,7 +313,7 @@ _SCORES = f"""
                    + coalesce(k, 0)) AS num
         FROM chain c LEFT JOIN paths p ON p.target = c.u1 GROUP BY c.post_id),
     scores AS (
-        SELECT b.cluster, CAST(sum(b.n * c.num) AS BIGINT) AS num_users, count(DISTINCT c.poster) AS distinct_users
+        SELECT b.cluster, sum(CAST(b.n AS HUGEINT) * c.num) AS num_users, count(DISTINCT c.poster) AS distinct_users
         FROM base b JOIN counted c ON c.post_id = b.post_id GROUP BY b.cluster),
     top AS (SELECT * FROM scores ORDER BY num_users DESC, cluster LIMIT {TOP})
 """
@@ -354,7 +354,7 @@ def _ego_edges(v: Views):
 
 @query("top_clusters")
 def _(v: Views):
-    return ego.top_clusters(v.cluster_scores(), TOP)
+    return ego.top_clusters(v.cluster_scores(), TOP).withColumn("num_users", F.col("num_users").cast("string"))
 
 
 @query("cluster_spreaders")
@@ -381,7 +381,7 @@ def _(v: Views):
 def _ego_oracles():
     from claimweave.plans.registry import ORACLES
 
-    ORACLES["top_clusters"] = _ego_sql("SELECT * FROM top")
+    ORACLES["top_clusters"] = _ego_sql("SELECT * REPLACE (CAST(num_users AS VARCHAR) AS num_users) FROM top")
     ORACLES["cluster_spreaders"] = _ego_sql("SELECT * FROM spreader")
     ORACLES["ego_edges"] = _ego_sql("SELECT * FROM ego_edge")
     ORACLES["ego_features"] = _ego_sql(

@@ -203,3 +203,15 @@ def test_inserting_fetched_edges(spark):
     line = spark.createDataFrame([(10, 1), (11, 1), (12, 9)], "post_id bigint, user_id bigint")
     new_posts, new_edges = frontier.insert_timelines(posts, users, got.limit(0), line)
     assert rows(new_posts) == [(11,), (12,)] and rows(new_edges) == [(1, 10), (1, 11)]
+
+
+def test_cluster_scores_of_large_degrees(spark):
+    n = 60_000
+    one = lambda sql: spark.sql(sql)
+    got = ego.cluster_scores(
+        one("SELECT 1L AS claim_id, 4L AS cluster"), one("SELECT 1L AS claim_id, 'misinformation' AS predicted_verdict"),
+        one("SELECT 1L AS post_id, 1L AS claim_id, 0.9D AS score"), one("SELECT 5L AS user_id, 1L AS post_id"),
+        spark.range(n).selectExpr("1L AS post_id", "5L AS user_id"),
+        spark.range(n).selectExpr("5L AS src", "5L AS tgt"),
+    ).first()
+    assert (int(got.num_users), got.distinct_users) == (5 * n**4, 1)

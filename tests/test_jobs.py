@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave import jobs
-from claimweave.sources import pages
+from claimweave.sources import archive, pages
 from claimweave.tables import Tables
 
 
@@ -41,11 +41,8 @@ def graph(spark, tmp_path_factory):
     assert jobs.fetch_posts(landed, archive, "desk") == 0
 
     t = Tables(spark, f"{root}/graph")
-    dfs = {n: spark.read.parquet(f"{archive}/{n}") for n in ("tweets", "authors")}
-    empty = pages.flatten_api_pages(landed.filter(F.lit(False)))
-    dfs.update({n: df for n, df in empty.items() if n not in dfs and n != "metadata"})
-    jobs.load(t, dfs)
-    jobs.load(t, dfs)
+    jobs.populate(t, archive)
+    jobs.populate(t, archive)
 
     folder = root / "claims"
     folder.mkdir()
@@ -164,3 +161,88 @@ def test_predicted_verdicts(spark, tmp_path):
     ann = spark.createDataFrame([("true", "factual"), ("false", "misinformation"), ("satire", "other")] * 4, "raw_verdict string, verdict string")
     jobs.add_predicted_verdicts(t, jobs.train(ann))
     assert rows(t.read("has_reviewed"), "predicted_verdict") == [("misinformation",)]
+
+
+def test_facts_are_loaded(spark, tmp_path):
+    claims = [{"text": f"c{i}", "claimDate": "2021-01-01", "claimReview": [{"publisher": {"site": site}, "textualRating": "No"}]}
+              for i, site in enumerate(["a.org", "it's 100%: b/c", "007"])]
+    df = spark.createDataFrame([(json.dumps({"claims": claims}),)], "response string")
+    for left in (3, 0):
+        assert jobs.fetch_facts(df, str(tmp_path / "f")).count() == left
+        t = Tables(spark, str(tmp_path / "g"))
+        jobs.create_claims(t, str(tmp_path / "f"))
+        assert rows(t.read("has_reviewed"), "reviewer", "claim") == [("007", "c2"), ("a.org", "c0"), ("it's 100%: b/c", "c1")]
+
+
+def test_a_failed_fetch_is_repaired(spark, tmp_path, monkeypatch):
+    searches = ["don't panic", "a:b/c 100%", "#tag"]
+    landed = spark.createDataFrame(
+        [(q, 0, page([post(i, i, "x", 4)], [{"id": str(i), "username": f"u{i}"}])) for i, q in enumerate(searches, 1)],
+        "query string, page_no bigint, page string")
+    root = str(tmp_path / "a")
+    whole = pages.flatten_api_pages
+
+    def broken(named):
+        made = whole(named)
+        yield "tweets", made["tweets"]
+        raise OSError("lost")
+
+    class Broken:
+        def __init__(self, named):
+            self.named = named
+
+        def items(self):
+            return broken(self.named)
+
+    monkeypatch.setattr(pages, "flatten_api_pages", Broken)
+    with pytest.raises(OSError):
+        jobs.fetch_posts(landed, root)
+    monkeypatch.setattr(pages, "flatten_api_pages", whole)
+    assert jobs.fetch_posts(landed, root) == 3 and jobs.fetch_posts(landed, root) == 0
+    got = archive.read_archive(spark, root)
+    assert rows(got["tweets"], "id") == rows(got["authors"], "id") == [("1",), ("2",), ("3",)]
+    assert rows(got["tweets"], "query") == [("-a:b/c_100%",), ("-don't_panic",), ("-hashtag_tag",)]
+
+
+def test_stored_columns_stay(spark, tmp_path):
+    t = Tables(spark, str(tmp_path))
+    some = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("post_id"), F.lit("t").alias("text"))
+    t.insert("post", some(0, 5), ["post_id"])
+    for n in range(1, 6):
+        t.fill_property("post", some(0, 5 * n).select("post_id", F.array(F.lit(1.0)).alias("embedding")), "post_id")
+        t.insert("post", some(0, 5 * n + 5), ["post_id"])
+        got = t.read("post")
+        assert got.count() == 5 * n + 5 and got.filter("embedding IS NOT NULL").count() == 5 * n
+    assert got.columns == ["post_id", "text", "embedding"]
+    # A rewrite that fails leaves the table as it was.
+    with pytest.raises(Exception):
+        t.replace("post", got.withColumn("text", F.raise_error(F.lit("lost"))))
+    assert t.read("post").count() == got.count()
+    t.drop("post", "post")
+    assert not t.exists("post")
+
+
+def test_claims_landed_again_keep_their_properties(spark, tmp_path):
+    t = Tables(spark, str(tmp_path / "g"))
+    folder = tmp_path / "claims"
+    folder.mkdir()
+    land = lambda rows_: pd.DataFrame(rows_, columns=["claim", "date", "source", "reviewer", "language", "raw_verdict"]).to_csv(folder / "a.csv", index=False)
+    land([("c1", "2021-01-01", "s", "a", "en", "No"), ("c2", "2021-01-01", "s", "a", "en", "No")])
+    jobs.create_claims(t, str(folder))
+    t.set_property("claim", t.read("claim").select("claim_id", F.lit("en").alias("claim_en")), "claim_id")
+    land([("c1", "2021-02-01", "other", "a", "en", "Yes"), ("c3", "2021-01-01", "s", "a", "en", "No")])
+    jobs.create_claims(t, str(folder))
+    assert rows(t.read("claim"), "claim", "source", "claim_en") == [("c1", "other", "en"), ("c2", "s", "en"), ("c3", "s", None)]
+    assert rows(t.read("has_reviewed"), "claim", "raw_verdict") == [("c1", "Yes"), ("c2", "No"), ("c3", "No")]
+
+
+def test_one_embedding_space(spark, tmp_path):
+    t = Tables(spark, str(tmp_path))
+    texts = ["green cheese on the moon", "water is wet today", "the king says nothing"]
+    t.insert("post", spark.createDataFrame(list(enumerate(texts)), "post_id bigint, text string"), ["post_id"])
+    assert jobs.embed_posts(t, column="text") == 3
+    t.insert("post", spark.createDataFrame([(9, texts[0])], "post_id bigint, text string"), ["post_id"])
+    t.insert("claim", spark.createDataFrame([(1, texts[0])], "claim_id bigint, claim string"), ["claim_id"])
+    assert jobs.embed_posts(t, column="text") == 1 and jobs.embed_claims(t, column="claim") == 1
+    vector = {r.post_id: r.embedding for r in t.read("post").collect()}
+    assert any(vector[0]) and vector[0] == vector[9] == t.read("claim").first().embedding

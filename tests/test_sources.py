@@ -253,3 +253,17 @@ def test_new_reviewers_only(spark, tmp_path):
     assert release.append_new_reviewers(df.filter("reviewer = 'a'"), path).count() == 1
     assert rows(release.append_new_reviewers(df, path), "reviewer") == [("b",)]
     assert rows(spark.read.parquet(path), "reviewer", "n") == [("a", 1), ("b", 2)]
+
+
+def test_short_and_long_rows(spark, tmp_path):
+    folder = tmp_path / "s"
+    folder.mkdir()
+    (folder / "tweets.csv").write_text("id,author_id,text,lang\n1,5,ok,en\n2,5,short\n3,5,long,en,more\n4\n\n5,5,,en\n")
+    got = archive.read_archive_table(spark, str(tmp_path), "tweets")
+    assert rows(got, "id", "text", "lang") == [("1", "ok", "en"), ("2", "short", None), ("4", None, None), ("5", None, "en")]
+    assert rows(archive.rejected(archive.read_cells(spark, str(tmp_path), "tweets")), "query", "id") == [("s", "3")]
+    (folder / "a.csv").write_text("claim,date,reviewer\nc1,2021-01-01,a,more\nc2\n")
+    claims = archive.read_claims(spark, str(tmp_path / "s"))
+    assert rows(claims.filter("file_reviewer = 'a'"), "claim", "reviewer") == [("c1", "a"), ("c2", None)]
+    (tmp_path / "c.csv").write_text("claim,label,label_single,cluster\nx,L,k,3,more\ny,M\n")
+    assert rows(archive.read_claim_clusters(spark, str(tmp_path / "c.csv")), "claim", "cluster") == [("x", 3), ("y", None)]
