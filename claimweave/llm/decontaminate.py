@@ -31,24 +31,39 @@ _UNIT = rf"(?<=\p{{Nd}}) ?(?i:({'|'.join(UNITS)}))(?![\p{{L}}\p{{M}}])"
 _BETWEEN = rf"[^\p{{L}}\p{{M}}\p{{Nd}}{MARKS}]+"
 
 
-def _words(text: Column, values: bool) -> Column:
+def _marked_text(text: Column) -> Column:
+    """The text in lower case, each slot set apart as the mark of its kind and the value."""
     t = F.translate(F.coalesce(text, F.lit("")), MARKS, " " * len(MARKS))
-    t = F.regexp_replace(t, _NAME, f" {NAME}$0 " if values else f" {NAME} ")
-    t = F.regexp_replace(t, _UNIT, f" {UNIT}$1 " if values else f" {UNIT} ")
-    t = F.regexp_replace(t, _NUMBER, f" {NUMBER}$0 " if values else f" {NUMBER} ")
-    if values:
-        t = F.regexp_replace(t, r"(?<=\p{Nd})[.,:](?=\p{Nd})", MARKS[0])
-    return F.filter(F.split(F.lower(t), _BETWEEN), lambda w: w != "")
+    t = F.regexp_replace(t, _NAME, f" {NAME}$0 ")
+    t = F.regexp_replace(t, _UNIT, f" {UNIT}$1 ")
+    t = F.regexp_replace(t, _NUMBER, f" {NUMBER}$0 ")
+    return F.lower(F.regexp_replace(t, r"(?<=\p{Nd})[.,:](?=\p{Nd})", MARKS[0]))
+
+
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, _BETWEEN), lambda w: w != "")
+
+
+def _is_slot(word: Column) -> Column:
+    return F.left(word, F.lit(1)).isin(NUMBER, NAME, UNIT)
+
+
+def _template(marked: Column) -> Column:
+    return F.transform(marked, lambda w: F.when(_is_slot(w), F.left(w, F.lit(1))).otherwise(w))
+
+
+def _exact(marked: Column) -> Column:
+    return F.transform(marked, lambda w: F.translate(w, NAME, ""))
 
 
 def marked_words(text: Column) -> Column:
     """Words in lower case; a slot's word is the mark of its kind and the value."""
-    return _words(text, True)
+    return _split(_marked_text(text))
 
 
 def template_words(text: Column) -> Column:
     """The same words with only its kind for each slot: as many, in the same places."""
-    return _words(text, False)
+    return _template(marked_words(text))
 
 
 def _windows(words: str, size: int) -> Column:
@@ -56,19 +71,42 @@ def _windows(words: str, size: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(words), i, F.lit(size))))
 
 
+def _both_windows(size: int) -> Column:
+    """Template windows of ``w``, then in the same places the exact windows of ``e``, null where
+    they have no slot and are the same."""
+    hashes = F.array(F.struct(_windows("w", size).alias("t"), _windows("e", size).alias("e")))
+
+    def joined(h: Column) -> Column:  # a variable of its own, so that windows are hashed once
+        exact = F.zip_with(h["t"], h["e"], lambda t, e: F.when(t != e, e))
+        return F.concat(h["t"], F.coalesce(exact, F.array().cast("array<bigint>")))
+
+    return F.transform(hashes, joined)[0]
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """``h, item_id, ipos, size, n_windows``: template windows of each item; an item of fewer
-    words is one window of its own size. Windows with too few words that are no slots are
-    left out (in shorter items, two slots at least must be outnumbered by words)."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), template_words(F.col("text")).alias("w"))
+    """``h, item_id, ipos, size, n_windows, k, literal, exact``: all windows of each item; an item
+    of fewer words is one window of its own size, and none if all of them are slots.
+
+    ``literal`` windows have enough words that are no slots (in shorter items, two slots at least
+    must be outnumbered by words) and one row for their template. A window with slots has an
+    ``exact`` row for its words and values. ``k`` tells an item's windows apart, by template if
+    literal, else by values; ``n_windows`` counts them all."""
+    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), marked_words(F.col("text")).alias("m"))
+    items = items.select("item_id", _template(F.col("m")).alias("w"), _exact(F.col("m")).alias("e"))
     items = items.where(F.size("w") > 0).withColumn("size", F.least(F.lit(window), F.size("w")))
     rows = items.withColumn("ipos", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))))
     part = F.slice("w", F.col("ipos") + 1, F.col("size"))
     plain = F.size(F.filter(part, lambda x: ~x.isin(NUMBER, NAME, UNIT)))
     enough = plain * window >= F.col("size") * literals
-    rows = rows.where(enough).select("item_id", "ipos", "size", F.xxhash64(part).alias("h"))
-    counts = rows.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    return rows.join(counts, "item_id")
+    whole = F.xxhash64(F.slice("e", F.col("ipos") + 1, F.col("size")))
+    rows = rows.where((F.col("size") == window) | (plain > 0))
+    rows = cut_lineage(rows.select("item_id", "ipos", "size", enough.alias("literal"), F.xxhash64(part).alias("t"), whole.alias("e")))
+    rows = rows.withColumn("k", F.when(F.col("literal"), F.col("t")).otherwise(F.col("e")))
+    counts = rows.groupBy("item_id").agg(F.countDistinct("literal", "k").alias("n_windows"))
+    by_template = rows.where("literal").withColumn("h", F.col("t")).withColumn("exact", F.lit(False))
+    by_words = rows.where("not literal or t <> e").withColumn("h", F.col("e")).withColumn("exact", F.lit(True))
+    columns = ["h", "item_id", "ipos", "size", "k", "literal", "exact"]
+    return by_template.select(*columns).union(by_words.select(*columns)).join(counts, "item_id")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE) -> DataFrame:
@@ -77,26 +115,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     An item is in a document if at least ``coverage`` of its distinct windows are there, counted
     over places where document and item run in parallel and the slots agree: one value of the
     item always stands for one value of the document. Elsewhere only windows with the item's own
-    values count. ``changed`` says that some slot has another value than in the item.
+    values count, in any capitals. Windows of nearly nothing but slots are found by their values,
+    and by their kinds where another window of the item is in its place beside them. ``changed``
+    says that some slot has another value than in the item.
 
     Null and empty texts and items contain nothing; null item ids are left out; repeated rows
     and rows with one id count as one document, null ids as one too. Extra columns are not read.
     """
     grams = cut_lineage(benchmark_windows(benchmark, window, literals))
-    bench = grams.select("h", "item_id", "ipos", "size", "n_windows")
     sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # 1 to `window`
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), template_words(F.col("text")).alias("w"))
-    schema = "doc_id long, item_id long, ipos int, dpos int, size int, n_windows long"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _marked_text(F.col("text")).alias("m"))
+    rows = rows.select("doc_id", _split(F.col("m")).alias("m"), F.col("m").rlike(f"[{NUMBER}{NAME}{UNIT}]").alias("slotted"))
+    exact = F.when(F.col("slotted"), _exact(F.col("m")))  # without slots, template and words are the same
+    rows = rows.select("doc_id", F.when(F.col("slotted"), _template(F.col("m"))).otherwise(F.col("m")).alias("w"), exact.alias("e"))
+    columns = ["doc_id", "item_id", "ipos", "dpos", "size", "n_windows", "k", "literal", "exact"]
     spark = docs.sparkSession
     if not sizes:
         return spark.createDataFrame([], "doc_id long, item_id long, windows long, item_windows long, changed boolean")
-    lists = F.array(*[F.struct(F.lit(s).alias("size"), _windows("w", s).alias("hs")) for s in sizes])
     if len(sizes) == 1:
-        grams_of = rows.select("doc_id", F.lit(sizes[0]).alias("size"), F.posexplode(_windows("w", sizes[0])).alias("dpos", "h"))
+        grams_of = rows.select("doc_id", F.lit(sizes[0]).alias("size"), F.size("w").alias("n"), F.posexplode(_both_windows(sizes[0])).alias("at", "h"))
     else:
-        per_size = rows.select("doc_id", F.explode(lists).alias("l"))
-        grams_of = per_size.select("doc_id", F.col("l.size").alias("size"), F.posexplode("l.hs").alias("dpos", "h"))
-    hits = cut_lineage(grams_of.join(small(bench), ["h", "size"]).select(*[c.split()[0] for c in schema.split(", ")]))
+        lists = F.array(*[F.struct(F.lit(s).alias("size"), _both_windows(s).alias("hs")) for s in sizes])
+        per_size = rows.select("doc_id", F.size("w").alias("n"), F.explode(lists).alias("l"))
+        grams_of = per_size.select("doc_id", "n", F.col("l.size").alias("size"), F.posexplode("l.hs").alias("at", "h"))
+    grams_of = grams_of.where("h is not null").select("doc_id", "size", "h", F.expr("at % (n - size + 1)").alias("dpos"))
+    hits = cut_lineage(grams_of.join(small(grams), ["h", "size"]).select(*columns))
+    # Beside what is there, windows of too many slots are compared by their kinds as well.
+    slots_only = cut_lineage(grams.where("not literal").drop("h"))
+    beside = hits.join(small(cut_lineage(slots_only.select("item_id").distinct())), "item_id", "left_semi")
+    beside = beside.select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("shift")).distinct()
+    beside = beside.join(small(slots_only), "item_id").withColumn("dpos", F.col("shift") + F.col("ipos")).withColumn("exact", F.lit(False))
+    hits = cut_lineage(hits.union(beside.where("dpos >= 0").select(*columns)))
     ids = cut_lineage(hits.select("doc_id").distinct())
     found = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(small(ids), F.col("d").eqNullSafe(F.col("doc_id")), "left_semi")
     # Rows that share an id: slots are compared in the text that has the window.
@@ -104,17 +153,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     item = benchmark.select(F.col("item_id").cast("long").alias("i"), marked_words(F.col("text")).alias("iw"), template_words(F.col("text")).alias("it"))
     both = hits.join(said, F.col("doc_id").eqNullSafe(F.col("d"))).join(item, F.col("item_id") == F.col("i"))
     cut = lambda c, at: F.slice(c, F.col(at) + 1, F.col("size"))
-    both = both.select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"), "n_windows", cut("dw", "dpos").alias("dv"), cut("dt", "dpos").alias("dt"), cut("iw", "ipos").alias("iv"), cut("it", "ipos").alias("it"))
-    both = both.where("dt = it")
-    pairs = F.filter(F.arrays_zip("iv", "dv"), lambda p: F.left(p.iv, F.lit(1)).isin(NUMBER, NAME, UNIT))
+    both = both.select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"), "n_windows", "k", "literal", "exact", cut("dw", "dpos").alias("dv"), cut("dt", "dpos").alias("dt"), cut("iw", "ipos").alias("iv"), cut("it", "ipos").alias("it"))
+    both = both.withColumn("same", _exact(F.col("iv")) == _exact(F.col("dv")))
+    # What is found by its template is not counted a second time by its words.
+    both = both.where("(dt = it and not exact) or (same and not (dt = it and literal and exact))")
+    pairs = F.filter(F.arrays_zip("iv", "dv"), lambda p: _is_slot(p.iv))
+    pairs = F.transform(pairs, lambda p: F.struct(p.iv.alias("iv"), F.translate(p.dv, NAME, "").alias("dv")))
     place = ["doc_id", "item_id", "shift"]
-    matches = cut_lineage(both.select(*place, "ipos", "n_windows", F.hash("it").alias("g"), pairs.alias("slots"), (F.col("iv") == F.col("dv")).alias("same")))
+    matches = cut_lineage(both.select(*place, "ipos", "n_windows", "literal", "k", pairs.alias("slots"), "same"))
     slots = matches.select(*place, F.explode("slots").alias("s")).groupBy(*place, "s.iv").agg((F.min("s.dv") != F.max("s.dv")).alias("bad"))
     broken = slots.groupBy(*place).agg(F.max("bad").alias("broken")).where("broken")
     broken = broken.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("shift").alias("sh"), "broken")
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i")) & (F.col("shift") == F.col("sh"))
     kept = matches.join(broken, on, "left").where("broken is null or same")
-    per = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("g").alias("windows"), F.max("n_windows").alias("item_windows"), F.max(~F.col("same")).alias("changed"))
+    per = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("literal", "k").alias("windows"), F.max("n_windows").alias("item_windows"), F.max(~F.col("same")).alias("changed"))
     return per.where(F.col("windows") >= F.lit(coverage) * F.col("item_windows"))
 
 

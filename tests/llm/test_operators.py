@@ -403,6 +403,24 @@ def test_contaminated_documents(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_items_of_numbers_and_names(spark):
+    items = [
+        (1, "What is 12 + 7 * 3 - 45 / 9 + 81 equal to?"), (2, "Sort 9, 4, 7, 1, 3, 8, 2, 6 in ascending order"),
+        (3, "The signers were Adams, Franklin, Hancock, Jefferson, Rush, Morris, Penn, Clark, Hart, Stone, Lee, Paca and Wythe."),
+        (4, "add 3 and 4"), (5, "when the red boat left the old harbour for the far islands"),
+        (6, "a shop sold tea and bread for 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15 and 16 dollars"),
+    ]
+    rows = [(10 * i + k, x) for i, t in items for k, x in enumerate((t, f"Before: {t} and after", t.lower(), t.upper(), t.title()))]
+    numbers = re.sub(r"\d+", lambda m: str(int(m[0]) + 100), items[5][1])
+    rows += [(100, "Sort 1, 2, 3, 4, 5, 6, 7, 8 in ascending order"), (101, re.sub("Adams|Rush|Penn|Hart|Lee", "Smith", items[2][1])), (102, numbers)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert {(10 * i + k, i) for i, _ in items for k in range(5)} | {(102, 6)} == set(got)
+    assert all(not r.changed and r.windows == r.item_windows for (d, _), r in got.items() if d < 100)
+    assert got[102, 6].changed and got[10, 1].item_windows == 3
+
+
 def test_slots(spark):
     row = spark.range(1).select(F.lit("We met John Smith, 12.5 km from St. Paul; 3 kg and 4kg, 1,000 x2y").alias("t"))
     marked, template = row.select(decontaminate.marked_words(F.col("t")).alias("m"), decontaminate.template_words(F.col("t")).alias("t")).first()
