@@ -440,6 +440,28 @@ def _(v: Views):
     )
 
 
+@query(
+    "frontier_timelines_whole",
+    """, near AS (SELECT p.user_id FROM posted p JOIN linked l ON l.post_id = p.post_id),
+        kinds AS (
+            SELECT user_id, 1 AS kind FROM near
+            UNION ALL SELECT w.user_id, 1 FROM retweeted w JOIN linked l ON l.post_id = w.post_id
+            UNION ALL SELECT r.user_id, 2 FROM replies r JOIN linked l ON l.post_id = r.post_id
+            UNION ALL SELECT f.src, 3 FROM follows f JOIN near n ON n.user_id = f.tgt
+            UNION ALL SELECT f.tgt, 3 FROM follows f JOIN near n ON n.user_id = f.src),
+        todo AS (SELECT user_id, min(kind) AS kind FROM kinds WHERE user_id NOT IN (SELECT user_id FROM posted) GROUP BY user_id)
+        SELECT user_id, CAST(kind AS BIGINT) AS kind,
+               CAST((row_number() OVER (PARTITION BY kind ORDER BY user_id) - 1) // 10 AS BIGINT) AS batch_id
+        FROM todo""",
+    ("linked", "posted", "retweeted", "replies", "follows"),
+)
+def _(v: Views):
+    posted = v.posted.select("user_id", "post_id")
+    return frontier.timelines(v.linked.select("post_id"), posted, v.retweeted, v.replies, v.follows, 10).select(
+        "user_id", F.col("kind").cast("bigint").alias("kind"), "batch_id"
+    )
+
+
 def _frontier_oracles():
     from claimweave.plans.registry import ORACLES
     from claimweave.plans.views import with_views
@@ -510,6 +532,25 @@ def _(v: Views):
     return users
 
 
+@query(
+    "upsert_graph_replies",
+    """, pages AS (SELECT reply_id, user_id, post_id FROM replies UNION SELECT post_id, user_id, post_id FROM retweeted)
+       SELECT DISTINCT 'user' AS kind, CAST(NULL AS BIGINT) AS reply_id, user_id, CAST(NULL AS BIGINT) AS post_id
+       FROM pages WHERE user_id NOT IN (SELECT user_id FROM users)
+       UNION ALL
+       SELECT 'reply', reply_id, user_id, post_id FROM pages WHERE post_id IN (SELECT post_id FROM posts) AND NOT EXISTS (
+           SELECT 1 FROM replies r WHERE r.reply_id = pages.reply_id AND r.user_id = pages.user_id AND r.post_id = pages.post_id)""",
+    ("replies", "retweeted", "users", "posts"),
+)
+def _(v: Views):
+    pages = v.replies.select("reply_id", "user_id", "post_id").union(v.retweeted.select("post_id", "user_id", "post_id"))
+    users, edges = frontier.insert_replies(v.posts, v.users, v.replies, pages)
+    nothing = F.lit(None).cast("bigint")
+    return users.select(F.lit("user").alias("kind"), nothing.alias("reply_id"), "user_id", nothing.alias("post_id")).unionByName(
+        edges.select(F.lit("reply").alias("kind"), "reply_id", "user_id", "post_id")
+    )
+
+
 @query(
     "remaining_work",
     """SELECT count(*) AS total, count(*) FILTER (post_id IN (SELECT post_id FROM linked)) AS done,

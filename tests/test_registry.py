@@ -38,3 +38,12 @@ def test_query(spark, sf, duck, name):
 
 def test_few_queries_lack_sql():
     assert set(QUERIES) - set(ORACLES) == {"embed_text", "link_embedded_texts", "predict_verdict"}
+
+
+def test_whole_tables_are_read(spark, sf):
+    v = claimweave.plans.views.views(spark, sf)
+    todo = {r.user_id for r in bind("frontier_timelines_whole")(spark, sf).collect()}
+    assert todo.isdisjoint({r.user_id for r in v.posted.select("user_id").distinct().collect()})
+    stored = {(r.reply_id, r.user_id, r.post_id) for r in v.replies.collect()}
+    got = bind("upsert_graph_replies")(spark, sf).collect()
+    assert got and {(r.reply_id, r.user_id, r.post_id) for r in got}.isdisjoint(stored)
