@@ -9,12 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import unit_hash
+from claimweave.llm.common import small, unit_hash
+from claimweave.session import cut_lineage
 
 #: N-grams of a profile, and the longest n-gram.
 PROFILE = 400
 LONGEST = 3
-#: About so many documents at most are read for the profiles (all, if there are fewer).
+#: About so many documents at most are read for the profiles (all, if there are fewer), of each
+#: language an equal part of them at most.
 TRAIN_DOCS = 60_000
 UNKNOWN = "und"
 
@@ -60,13 +62,17 @@ def ranked_grams(text: str, size: int = PROFILE) -> np.ndarray:
 def language_profiles(docs: DataFrame, size: int = PROFILE, train_docs: int = TRAIN_DOCS) -> dict[str, np.ndarray]:
     """The most frequent n-grams of each language in ``text, lang``, by rank.
 
-    If there are more rows than ``train_docs``, a hash of id and language picks about that many,
-    the same share of every language. Rows without a language or letters teach nothing.
+    If there are more rows than ``train_docs``, each language may have an equal part of that number:
+    of a language with more rows a hash of id and language picks about so many, a rarer one is
+    read whole. Rows without a language or letters teach nothing.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    n = known.select("lang").count()
+    counts = cut_lineage(known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    n, n_lang = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
     if n > train_docs:
-        known = known.where(unit_hash("langid", F.col("doc_id"), F.col("lang")) < train_docs / n)
+        share = F.least(F.lit(1.0), F.lit(train_docs / n_lang) / F.col("rows"))
+        shares = cut_lineage(counts.select("lang", share.alias("share")))
+        known = known.join(small(shares), "lang").where(unit_hash("langid", F.col("doc_id"), F.col("lang")) < F.col("share"))
 
     def count(batches):
         import pyarrow as pa

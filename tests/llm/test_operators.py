@@ -193,6 +193,15 @@ def test_language(spark):
     assert langid.out_of_place(a, b, np.argsort(b), 50) == pytest.approx(plain_out_of_place(a.tolist(), b.tolist(), 50))
 
 
+def test_rare_languages_are_read_whole(spark):
+    rows = [(i, f"aaa bbb {i}", "big", None, 1) for i in range(2000)] + [(5000 + i, chr(0x430 + i) * 5, "rare", None, 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS)
+    profiles = langid.language_profiles(docs, train_docs=100)
+    alone = langid.language_profiles(docs.where("lang = 'rare'"))
+    assert set(profiles) == {"big", "rare"} and profiles["rare"].tolist() == alone["rare"].tolist()
+    assert langid.language_profiles(docs.limit(0), train_docs=0) == {}
+
+
 # Token shards.
 
 
