@@ -18,6 +18,9 @@ from claimweave.session import cut_lineage
 #: many words of one of them: windows all over the document, picked by a hash.
 TRAIN_DOCS = 4_000
 TRAIN_WORDS = 2_000
+#: Windows of ordinary text that the ordinary dictionary is trained on at most: all of the sample,
+#: or if it has more, about so many, picked by a hash over all of its documents alike.
+TRAIN_WINDOWS = 40_000
 #: Words of a window.
 WINDOW = 10
 #: Bytes of the two dictionaries. The toxic one is small, so that it holds little else.
@@ -118,7 +121,16 @@ def telling_stems(toxic: list[str], plain: list[str]) -> set[str]:
     return out
 
 
-def train_detector(texts: list[tuple[str, int]]) -> Detector:
+def ordinary_windows(texts: list[str], most: int = TRAIN_WINDOWS) -> list[bytes]:
+    """All windows of the texts, or about ``most`` of them, the same share of every text."""
+    total = sum(-(-len(t.split()) // WINDOW) for t in texts)
+    share = 2**32 * most / max(1, total)
+    if total <= most:
+        return [w for t in texts for w in windows(t)]
+    return [w for t in texts for i, w in enumerate(windows(t)) if zlib.crc32(w, i) < share]
+
+
+def train_detector(texts: list[tuple[str, int]], train_windows: int = TRAIN_WINDOWS) -> Detector:
     """From a bounded list of (text, label). Without both classes nothing is toxic or all is."""
     import zstandard as zstd
 
@@ -130,7 +142,7 @@ def train_detector(texts: list[tuple[str, int]]) -> Detector:
     words = [x for t in toxic for w in t.lower().split() if (x := stem_of(w, stems))]
     passages = [f" {' '.join(words[i : i + 6])} ".encode() for i in range(0, len(words), 6)]
     distinct = f" {' '.join(sorted(stems))} ".encode() if stems else b""
-    ordinary = [w for t in plain for w in windows(t)[:: max(1, len(plain) // 2000)]][:40_000]
+    ordinary = ordinary_windows(plain, train_windows)
 
     def trained(samples: list[bytes], size: int, **how) -> bytes:
         try:
@@ -204,7 +216,7 @@ def score_toxicity(docs: DataFrame, model: Detector) -> DataFrame:
     return docs.mapInArrow(rate, f"{kinds}, score double, predicted int")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> DataFrame:
     """``doc_id, score, predicted`` of every row, from its whole text alone.
 
     ``labels`` (``doc_id, toxic``) teach; several labels of one document count as their majority.
@@ -212,12 +224,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
     gets the score of the one that there is (0.0067 without any). Repeated rows give
     repeated results, other columns are not read.
     """
-    model = train_detector(training_texts(docs, labels, train_docs))
+    model = train_detector(training_texts(docs, labels, train_docs), train_windows)
     return score_toxicity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    model = train_detector(training_texts(docs, labels, train_docs))
+    model = train_detector(training_texts(docs, labels, train_docs), train_windows)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return score_toxicity(docs.select(row, "text"), model).where("predicted = 0").select("row.*")

@@ -137,6 +137,16 @@ def test_toxicity_without_classes(spark):
     assert toxicity.toxicity(documents(spark, []), one).count() == 0
 
 
+def test_ordinary_windows_come_from_all_texts():
+    texts = [" ".join(f"{i}x{j}" for j in range(400)) for i in range(3000)]
+    got = toxicity.ordinary_windows(texts)
+    assert len(got) == pytest.approx(toxicity.TRAIN_WINDOWS, rel=0.05)
+    assert len({w.split()[0].split(b"x")[0] for w in got}) > 2990
+    per = [sum(int(w.split(b"x")[0]) // 1000 == k for w in got) for k in range(3)]
+    assert min(per) > 0.9 * max(per)
+    assert len(toxicity.ordinary_windows(texts[:50], 2000)) == 2000
+
+
 def test_windows_cover_the_whole_text():
     text = " ".join(str(i) for i in range(12345))
     assert b" ".join(w.strip() for w in toxicity.windows(text)).decode() == text
