@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import chat, decontaminate, langid, mixing, ngram_join, quality, token_files, topk, toxicity, warc
+from claimweave.llm import chat, decontaminate, exact_dedup, langid, mixing, ngram_join, quality, repair, spelling, token_files, topk, toxicity, warc
 from claimweave.llm.common import text_fold
 from claimweave.session import shared_dir
 
@@ -88,16 +88,62 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors.where("vec_id % 20 = 0"), vectors)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.damaged_words(table(spark, sf_dir, "documents"))
+    return spelling.variant_forms(spelling.vocabulary(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.conversation_repairs(turns, repair.damaged(turns))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_toxicity, op3_token_files, op4_warc, op5_language, op6_jaccard_join, op7_decontaminate,
-        op8_chat, op9_quality, op10_top_k,
+        op8_chat, op9_quality, op10_top_k, op11_spelling_variants, op12_repair_conversations, op13_exact_dedup,
     )
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
+#: crc32 over the list ``bytes``, with the table ``t`` of the byte remainders.
+_CRC_TABLE = """tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM range(256) r(i))"""
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _best(*choices: str) -> str:
+    """The least of (cost, letters, lines)."""
+    return f"list_min([{', '.join(choices)}])"
+
+
+def _edit(cost: str, letter: str, line: str, rest: str) -> str:
+    return f"struct_pack(c := {cost} + {rest}.c, a := '{letter}' || {rest}.a, r := {line} || {rest}.r)"
+
+
+def _row_edits(state: int) -> str:
+    """Edits of a row in a state, as SQL over the best repairs v0 to v3 of the rows after it."""
+    then, role = (3, "assistant") if state == 2 else (2, "user")
+    never = "struct_pack(c := 1000000000, a := '', r := '')"
+    keep = [f"WHEN ini = '{role[0]}' THEN {_edit('extra', 'K', 'line', f'v{then}')}"]
+    if state == 0:
+        keep.append(f"WHEN ini = 's' THEN {_edit('extra', 'K', 'line', 'v1')}")
+    rerole = _edit("1 + extra", "R", f"(chr(10) || '{role}:' || text)", f"v{then}")
+    may = f"CASE WHEN gone THEN {never} {' '.join(keep)} ELSE {never} END"
+    return _best(_edit("2", "D", "''", f"v{state}"), may, f"CASE WHEN gone THEN {never} ELSE {rerole} END")
+
+
+def _insert(state: int, rest: str) -> str:
+    role = "assistant" if state == 2 else "user"
+    return _edit("5", "I", f"(chr(10) || '{role}:')", rest)
+
+
 ORACLES = {
     "op1_mix_sources": rf"""
 WITH d AS (SELECT doc_id, source, COALESCE(len({_WORDS}), 0)::BIGINT AS size FROM documents),
@@ -160,5 +206,57 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGIN
     FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id::BIGINT AS query_id, rank::INT AS rank, vec_id::BIGINT AS vec_id, score FROM r WHERE rank <= 20
+""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+u AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents),
+b AS (SELECT run, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64]::BIGINT[] END)) AS bytes FROM u WHERE length(run) >= 7),
+h AS (SELECT run, {_CRC} AS h FROM b, tab),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, COUNT(*) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING COUNT(*) >= 2),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS del FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+x AS (SELECT d.word AS a, v.word AS b FROM d JOIN v ON d.del = v.word),
+p AS (SELECT a, b FROM x UNION SELECT b, a FROM x UNION SELECT d.word, e.word FROM d JOIN d e ON d.i = e.i AND d.del = e.del AND d.word <> e.word),
+k AS (SELECT a, COUNT(*) AS n_near, arg_min(b, (-v.n, b)) AS form, MAX(v.n) AS form_n FROM p JOIN v ON v.word = b GROUP BY a),
+f AS (SELECT word, n, COALESCE(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+    FROM v LEFT JOIN k ON a = word),
+g AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT g.word, f.form, k + 1 FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(root, k) FROM g WHERE g.word = f.word) AS root, n::BIGINT AS n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM f
+""",
+    "op12_repair_conversations": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+c AS (SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+    list_transform(string_split(COALESCE(conv_id::VARCHAR, ' ') || ':' || COALESCE(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT) AS bytes FROM conversations),
+d AS (SELECT *, {_CRC} % 20 AS d FROM c, tab),
+e AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) FROM d WHERE d <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, COUNT(*) OVER (PARTITION BY conv_id) AS n,
+    left(role, 1) AS ini, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail FROM e),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lead(ini) OVER (PARTITION BY conv_id ORDER BY i) AS ini2 FROM o),
+f AS (SELECT *, chr(10) || role || ':' || text AS line, CASE WHEN tail = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM q),
+z AS (SELECT *, COALESCE(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM f),
+r AS (SELECT conv_id, MAX(n) AS i, struct_pack(c := 0, a := '', r := '') AS v0,
+        struct_pack(c := 10, a := 'II', r := chr(10) || 'user:' || chr(10) || 'assistant:') AS v1,
+        struct_pack(c := 5, a := 'I', r := chr(10) || 'assistant:') AS v2, struct_pack(c := 0, a := '', r := '') AS v3 FROM z GROUP BY conv_id
+    UNION ALL
+    SELECT conv_id, i, {_best("w0", _insert(0, "x2"))}, {_best("w1", _insert(1, "x2"))}, x2, {_best("w3", _insert(3, "w2"))} FROM
+        (SELECT *, {_best("w2", _insert(2, "w3"))} AS x2 FROM
+        (SELECT r.conv_id, z.i - 1 AS i, {", ".join(f"{_row_edits(s)} AS w{s}" for s in range(4))}
+        FROM r JOIN z ON r.conv_id IS NOT DISTINCT FROM z.conv_id AND r.i = z.i))),
+s AS (SELECT conv_id, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (fault = 'blank') AS blank,
+    COUNT(*) FILTER (fault = 'duplicate') AS duplicate, COUNT(*) FILTER (fault = 'truncated') AS truncated,
+    COUNT(*) FILTER (i < n AND ini || ini2 NOT IN ('su', 'ua', 'au')) AS illegal FROM z GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, COALESCE(gaps, 0)::BIGINT AS gaps, COALESCE(blank, 0)::BIGINT AS blank, COALESCE(duplicate, 0)::BIGINT AS duplicate,
+    COALESCE(truncated, 0)::BIGINT AS truncated, COALESCE(illegal, 0)::BIGINT AS illegal, COALESCE(v0.c, 0)::BIGINT AS cost, COALESCE(v0.a, '') AS audit,
+    sha256(COALESCE(substr(v0.r, 2), '')) AS repaired_sha256
+FROM ids LEFT JOIN s ON ids.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN r ON ids.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = 0
+""",
+    "op13_exact_dedup": r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(COALESCE(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+SELECT doc_id, MIN(doc_id) OVER (PARTITION BY h) AS keep_id, COUNT(*) OVER (PARTITION BY h) AS group_size,
+    row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST) = 1 AS kept, h AS text_sha256 FROM d
 """,
 }
