@@ -178,32 +178,33 @@ def costs_between(rows: list[tuple[str, int]], closing: bool) -> list[int]:
     return table
 
 
-def _kinds(rows: pd.DataFrame) -> list[tuple[str, int]]:
-    kind = rows.fault.map({"blank": MUST_GO, "duplicate": MUST_GO, "truncated": CUT}).fillna(SOUND).astype(int)
-    return list(zip(rows.initial, kind))
+KINDS = {"blank": MUST_GO, "duplicate": MUST_GO, "truncated": CUT, None: SOUND}
 
 
-def _segments(rows: pd.DataFrame):
-    """Rows of each conversation of a chunk in order."""
-    return rows.sort_values("pos").groupby("first", sort=True)
+def _segments(rows: pd.DataFrame) -> Iterator[tuple[int, int, bool, int, int, list[tuple[str, int]]]]:
+    """The segments of a chunk, whose rows are sorted in place: ``first`` and number of each, whether it ends
+    its conversation, where its rows begin and end, and their initials and kinds."""
+    rows.sort_values("pos", inplace=True, ignore_index=True)
+    firsts, segs, poses, sizes = (rows[c].tolist() for c in ("first", "seg", "pos", "rows"))
+    kinds = list(zip(rows["initial"].tolist(), map(KINDS.get, rows["fault"].where(rows["fault"].notna(), None).tolist())))
+    begin = 0
+    for end in range(1, len(firsts) + 1):
+        if end == len(firsts) or firsts[end] != firsts[begin] or segs[end] != segs[begin]:
+            yield firsts[begin], segs[begin], poses[end - 1] + 1 == firsts[begin] + sizes[begin], begin, end, kinds[begin:end]
+            begin = end
 
 
 def _tables(rows: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for first, part in _segments(rows):
-        closing = bool(part.pos.max() + 1 == first + part.rows.iloc[0])
-        out.append((first, part.seg.iloc[0], costs_between(_kinds(part), closing)))
+    out = [(first, seg, costs_between(kinds, closing)) for first, seg, closing, _, _, kinds in _segments(rows)]
     return pd.DataFrame(out, columns=["first", "seg", "m"])
 
 
 def _passages(rows: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
     """The state behind each segment for each state before it, on the path that is followed."""
-    exits = {(f, s): list(v) for f, s, v in zip(bounds["first"], bounds.seg, bounds.exits)}
+    exits = {(f, s): list(v) for f, s, v in zip(bounds["first"], bounds["seg"], bounds["exits"])}
     out = []
-    for first, part in _segments(rows):
-        seg = part.seg.iloc[0]
-        closing = bool(part.pos.max() + 1 == first + part.rows.iloc[0])
-        lattice, to = Lattice(_kinds(part), exits[first, seg], closing), []
+    for first, seg, closing, _, _, kinds in _segments(rows):
+        lattice, to = Lattice(kinds, exits[first, seg], closing), []
         for s in range(4):
             edits = lattice.edits_from(s) if lattice.arcs[s] else []
             to.append(edits[-1][2] if edits else s)
@@ -216,25 +217,23 @@ EDITS = "conv_id string, first long, pos long, step int, edit string, cost int,
 
 def _repaired(rows: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
     """Edits of a chunk: conversations that are whole, or segments with their bounds."""
-    known = {(f, s): (list(v), e) for f, s, v, e in zip(bounds["first"], bounds.seg, bounds.exits, bounds.entry)}
+    known = {(f, s): (list(v), int(e)) for f, s, v, e in zip(bounds["first"], bounds["seg"], bounds["exits"], bounds["entry"])}
+    segments = list(_segments(rows))
+    ids, poses, roles, texts = (rows[c].tolist() for c in ("conv_id", "pos", "role", "text"))
     out = []
-    for first, part in _segments(rows):
-        seg = part.seg.iloc[0]
+    for first, seg, closing, begin, end, kinds in segments:
         exits, entry = known.get((first, seg), (FINAL, NONE))
-        kinds = _kinds(part)
-        closing = bool(part.pos.max() + 1 == first + part.rows.iloc[0])
-        lattice = Lattice(kinds, exits, closing)
-        ids, poses, roles, texts = part.conv_id.tolist(), part.pos.tolist(), part.role.tolist(), part.text.tolist()
-        step = 0
-        for i, letter, state in lattice.edits_from(int(entry)):
-            pos, step = poses[0] + i, step + 1
+        for step, (i, letter, state) in enumerate(Lattice(kinds, exits, closing).edits_from(entry)):
+            # Turns inserted behind the last row stand at that row, after it.
+            at = min(begin + i, end - 1)
             if letter == "I":
-                out.append((ids[0], first, pos, step, letter, INSERT, ROLE[state], ""))
+                made = INSERT, ROLE[state], ""
             elif letter == "D":
-                out.append((ids[0], first, pos, step, letter, DELETE, None, None))
+                made = DELETE, None, None
             else:
-                cost = (TRUNCATED if kinds[i][1] == CUT else 0) + (REROLE if letter == "R" else KEEP)
-                out.append((ids[0], first, pos, step, letter, cost, ROLE[state] if letter == "R" else roles[i], texts[i]))
+                cost = TRUNCATED if kinds[i][1] == CUT else 0
+                made = (cost + REROLE, ROLE[state], texts[at]) if letter == "R" else (cost + KEEP, roles[at], texts[at])
+            out.append((ids[at], first, poses[at], step, letter, *made))
     return pd.DataFrame(out, columns=["conv_id", "first", "pos", "step", "edit", "cost", "role", "text"])
 
 
@@ -308,24 +307,24 @@ def repaired_turns(faults: DataFrame, whole: int = WHOLE, segment: int = SEGMENT
 
 def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Audit, cost and digest of conversations that come one after the other, in order."""
-    first, audit, cost, sha, turns = None, [], 0, None, 0
-
-    def done():
-        return pd.DataFrame([(first, "".join(audit), cost, sha.hexdigest())], columns=["first", "audit", "cost", "repaired_sha256"])
-
+    names = ["first", "audit", "cost", "repaired_sha256"]
+    first, audit, cost, sha, turns = None, [], 0, hashlib.sha256(), 0
     for batch in batches:
-        for f, edit, c, role, text in zip(batch["first"], batch.edit, batch.cost, batch.role, batch.text):
+        done = []
+        for f, edit, c, role, text in zip(*(batch[k].tolist() for k in ("first", "edit", "cost", "role", "text"))):
             if f != first:
                 if first is not None:
-                    yield done()
+                    done.append((first, "".join(audit), cost, sha.hexdigest()))
                 first, audit, cost, sha, turns = f, [], 0, hashlib.sha256(), 0
             audit.append(edit)
-            cost += int(c)
+            cost += c
             if edit != "D":
                 sha.update(f"{chr(10) if turns else ''}{role}:{text}".encode())
                 turns += 1
+        if done:
+            yield pd.DataFrame(done, columns=names)
     if first is not None:
-        yield done()
+        yield pd.DataFrame([(first, "".join(audit), cost, sha.hexdigest())], columns=names)
 
 
 def conversation_repairs(original: DataFrame, turns: DataFrame) -> DataFrame:
