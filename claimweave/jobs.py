@@ -8,15 +8,17 @@ claims and articles get ``claim_id`` / ``article_id`` as a hash of their key.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import text
 from claimweave.functions.claims import LINK_THRESHOLD, SIZES, parse_date
 from claimweave.operators import annotation, ego, expansion, filters, frontier, labels, linking, models, nodes, terms
 from claimweave.operators import translate as tr
-from claimweave.operators.keyed import assert_unique
+from claimweave.operators.keyed import broken_keys
 from claimweave.session import cut_lineage
 from claimweave.sources import archive, pages, release
 from claimweave.tables import Tables
@@ -25,8 +27,18 @@ NODE_KEYS = {
     "post": ["post_id"], "user": ["user_id"], "hashtag": ["name"], "url": ["name"], "media": ["media_id"],
     "place": ["place_id"], "poll": ["poll_id"], "conversation": ["conversation_id"],
 }
-#: Folder of the fitted word weights, one for posts, claims and articles.
-_WEIGHTS = "embedding_weights"
+#: Table and column of each key that must be unique. Accounts that share a name are kept and only reported.
+UNIQUE = {
+    "post": ("post", "post_id"), "user_id": ("user", "user_id"), "user_name": ("user", "user_name"), "hashtag": ("hashtag", "name"),
+    "url": ("url", "name"), "media": ("media", "media_id"), "place": ("place", "place_id"), "poll": ("poll", "poll_id"),
+    "conversation": ("conversation", "conversation_id"), "claim": ("claim", "claim"), "reviewer": ("reviewer", "url"), "article": ("article", "url"),
+}
+REPORTED = ("user_name",)
+#: Counts behind the word weights, one row per pass over posts, claims or articles.
+_COUNTS = "embedding_counts"
+_COUNT = "version bigint, source string, n_docs bigint, n_with array<bigint>"
+#: Tables with embeddings and their keys.
+EMBEDDED = {"post": "post_id", "claim": "claim_id", "article": "article_id"}
 _EDGE = "src bigint, tgt bigint"
 _LINK = "post_id bigint, claim_id bigint, score double"
 _ARTICLE_LINK = "article_id bigint, claim_id bigint, score double"
@@ -81,6 +93,20 @@ def fetch_posts_for_claims(claims: DataFrame, posts: DataFrame, top_n: int = 5)
 # Graph load.
 
 
+def audit_keys(t: Tables) -> DataFrame:
+    """``(key, n_keys, n_rows, example)`` of every unique key that is broken in the tables that are there."""
+    stacked = {k: t.read(name).select(column) for k, (name, column) in UNIQUE.items() if t.exists(name) and column in t.read(name).columns}
+    return broken_keys(t.spark, stacked)
+
+
+def check_keys(t: Tables) -> None:
+    """The broken keys go to the table ``broken_keys``; any but a reported one is an error that names all."""
+    found = t.replace("broken_keys", audit_keys(t)).orderBy("key").collect()  # at most one row a key
+    wrong = [f"{r.key}: {r.n_keys}, for instance {r.example!r}" for r in found if r.key not in REPORTED]
+    if wrong:
+        raise ValueError("keys that are not unique: " + "; ".join(wrong))
+
+
 def populate(t: Tables, archive_root: str, start_from_scratch: bool = False, min_retweets: int = 5, queries: list[str] | None = None) -> None:
     """Archive folders (also those of :func:`fetch_posts`) -> node and edge tables; ids that are
     there already win. Each landed
@@ -103,6 +129,7 @@ def load(t: Tables, dfs: dict[str, DataFrame], start_from_scratch: bool = False,
         if start_from_scratch:
             t.drop(name)
         t.insert(name, df, ["src", "tgt"])
+    check_keys(t)
 
 
 def create_claims(t: Tables, folder: str, start_from_scratch: bool = False) -> None:
@@ -117,14 +144,19 @@ def create_claims(t: Tables, folder: str, start_from_scratch: bool = False) -> N
         ("claim", claims, ["claim"]), ("reviewer", made["reviewer"], ["url"]), ("has_reviewed", reviews, ["reviewer", "claim"])
     ):
         t.update(name, df.dropna(subset=keys), keys)
-    assert_unique(t.read("claim"), ["claim_id"])
+    check_keys(t)
 
 
 def add_claim_clusters(t: Tables, path: str) -> None:
-    claims = t.read("claim").drop("keywords", "cluster_keywords", "cluster")
-    if "claim_en" not in claims.columns:
-        claims = claims.withColumn("claim_en", F.col("claim"))
-    t.replace("claim", nodes.attach_clusters(claims, archive.read_claim_clusters(t.spark, path)))
+    clusters = archive.read_claim_clusters(t.spark, path)
+
+    def attach(claims: DataFrame) -> DataFrame:
+        claims = claims.drop("keywords", "cluster_keywords", "cluster")
+        if "claim_en" not in claims.columns:
+            claims = claims.withColumn("claim_en", F.col("claim"))
+        return nodes.attach_clusters(claims, clusters)
+
+    t.rewrite("claim", attach)
 
 
 def create_articles(t: Tables, landed: DataFrame, start_from_scratch: bool = False, skip_preparse: bool = False) -> None:
@@ -137,6 +169,7 @@ def create_articles(t: Tables, landed: DataFrame, start_from_scratch: bool = Fal
     t.insert("url_is_article", made["url_is_article"], ["src", "tgt"])
     t.insert("article_has_top_image", made["article_has_top_image"], ["src", "tgt"])
     t.insert("url", made["url"], ["name"])
+    check_keys(t)
 
 
 # Text jobs. A row that has its output already is left alone.
@@ -145,7 +178,7 @@ def create_articles(t: Tables, landed: DataFrame, start_from_scratch: bool = Fal
 def _rest(t: Tables, name: str, needs: list[str], out: str, start_from_scratch: bool, flag: str | None = None) -> DataFrame:
     df = t.read(name)
     if start_from_scratch and out in df.columns:
-        df = t.replace(name, df.drop(out))
+        df = t.rewrite(name, lambda stored: stored.drop(out))
     if out not in df.columns:
         df = df.withColumn(out, F.lit(None).cast("string"))
     if flag and flag not in df.columns:
@@ -153,42 +186,86 @@ def _rest(t: Tables, name: str, needs: list[str], out: str, start_from_scratch:
     return filters.worklist(df, needs, out, flag)
 
 
-def fit_embeddings(t: Tables, texts: DataFrame, dimensions: int = 512) -> PipelineModel:
-    """Fit the word weights of the default embedding on ``texts(doc)``, cleaned texts, and store
-    them with the graph. Vectors made under other weights do not compare; make them anew with
-    ``start_from_scratch``."""
-    model = models.fit_embedding(texts, "doc", dimensions=dimensions)
-    model.write().overwrite().save(f"{t.root}/{_WEIGHTS}")
-    return model
-
-
-def _weights(t: Tables, docs: DataFrame, clean, dimensions: int = 512) -> PipelineModel:
-    """The stored weights. The first texts that are embedded fit them, for all later ones."""
-    if t.has_file(f"{_WEIGHTS}/metadata/_SUCCESS"):
-        return PipelineModel.load(f"{t.root}/{_WEIGHTS}")
-    return fit_embeddings(t, docs.select(clean(F.col("doc")).alias("doc")), dimensions)
-
-
-def _embed(t: Tables, name: str, key: str, source: str, clean, start_from_scratch: bool, **options) -> int:
+def add_embedding_counts(t: Tables, counts: DataFrame, source: str) -> int:
+    """Add the counts of a pass (:func:`models.count_terms`) as a new version of the word weights; returns
+    its number. Passes at the same time get versions of their own."""
+    pass_id = uuid.uuid4().hex
+    tagged = cut_lineage(counts.select(F.concat_ws("/", F.lit(source), F.lit(pass_id)).alias("source"), "n_docs", "n_with"))
+
+    def add(stored: DataFrame) -> DataFrame:
+        last = stored.agg(F.max("version")).first()[0] or 0
+        return stored.unionByName(tagged.withColumn("version", F.lit(last + 1).cast("long")))
+
+    rows = t.rewrite(_COUNTS, add, _COUNT)
+    return rows.filter(F.endswith("source", F.lit(pass_id))).first().version
+
+
+def _forget_counts(t: Tables, source: str) -> None:
+    """Take the counts of a table's earlier passes back, before all its texts are counted anew."""
+    mine = t.get(_COUNTS, _COUNT).filter(F.substring_index("source", "/", 1) == source)
+    past = models.add_counts(mine)
+    if not mine.isEmpty():
+        add_embedding_counts(t, past.select((-F.col("n_docs")).alias("n_docs"), F.transform("n_with", lambda n: -n).alias("n_with")), source)
+
+
+def embedding_weights(t: Tables) -> DataFrame:
+    """``(version, weights)`` of every version: its counts are those of all passes up to it."""
+    cells = t.read(_COUNTS).select("version", "n_docs", F.posexplode("n_with").alias("at", "n"))
+    upto = Window.partitionBy("at").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
+    weight = models.weight(F.sum("n_docs").over(upto), F.sum("n").over(upto))
+    found = cells.select("version", F.struct("at", weight.alias("w")).alias("cell")).groupBy("version").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    return found.select("version", F.transform("cells", lambda c: c["w"]).alias("weights"))
+
+
+def refresh_embeddings(t: Tables) -> int:
+    """Bring the vectors of posts, claims and articles that were made under earlier word weights to the
+    newest ones, so that all of them compare; returns how many were moved. Vectors of a model of one's own have no
+    version and stay."""
+    if not t.exists(_COUNTS):
+        return 0
+    weights = cut_lineage(embedding_weights(t))
+    newest, moved = weights.agg(F.max("version")).first()[0], 0
+    for name in EMBEDDED:
+        if t.exists(name) and "embedding_version" in t.read(name).columns:
+            stale = t.read(name).filter(F.col("embedding").isNotNull() & (F.col("embedding_version") < newest)).count()
+            if stale:
+                t.rewrite(name, lambda stored: models.reweigh(stored, weights, newest))
+            moved += stale
+    return moved
+
+
+def _embed(t: Tables, name: str, source: str, clean, start_from_scratch: bool, dimensions: int = 512, **options) -> int:
+    """New vectors of a table. Each pass adds the word counts of its texts; with ``encoder`` or
+    ``load_encoder`` the vectors are that model's and no counts are kept."""
+    key = EMBEDDED[name]
+    if start_from_scratch:
+        _forget_counts(t, name)
     rest = cut_lineage(_rest(t, name, [source], "embedding", start_from_scratch).select(key, F.col(source).alias("doc")))
-    n = rest.count()
+    n, version = rest.count(), F.lit(None).cast("long")
     if n:
         if not options.keys() & {"encoder", "load_encoder"}:
-            options = {"weights": _weights(t, rest, clean, **options)}
-        t.fill_property(name, models.embed(rest, "doc", clean, **options).select(key, "embedding"), key)
+            counts = models.count_terms(rest.select(clean(F.col("doc")).alias("doc")), "doc", dimensions)
+            number = add_embedding_counts(t, counts, name)
+            options = {"weights": models.term_weights(t.read(_COUNTS).filter(F.col("version") <= number))}
+            version = F.lit(number).cast("long")
+        vectors = models.embed(rest, "doc", clean, **options).select(key, "embedding", version.alias("embedding_version"))
+        stored = t.read(name)
+        if start_from_scratch and "embedding_version" in stored.columns:
+            t.rewrite(name, lambda stored: stored.drop("embedding_version"))
+        t.fill_property(name, vectors, key)
     return n
 
 
 def embed_posts(t: Tables, start_from_scratch: bool = False, column: str = "text_en", **options) -> int:
-    return _embed(t, "post", "post_id", column, text.clean_post, start_from_scratch, **options)
+    return _embed(t, "post", column, text.clean_post, start_from_scratch, **options)
 
 
 def embed_claims(t: Tables, start_from_scratch: bool = False, column: str = "claim_en", **options) -> int:
-    return _embed(t, "claim", "claim_id", column, text.clean_plain, start_from_scratch, **options)
+    return _embed(t, "claim", column, text.clean_plain, start_from_scratch, **options)
 
 
 def embed_articles(t: Tables, start_from_scratch: bool = False, column: str = "summary", **options) -> int:
-    return _embed(t, "article", "article_id", column, text.clean_plain, start_from_scratch, **options)
+    return _embed(t, "article", column, text.clean_plain, start_from_scratch, **options)
 
 
 def _translate(t: Tables, name: str, key: str, source: str, out: str, memory: DataFrame, backend) -> None:
@@ -230,20 +307,22 @@ def expand_verdicts(annotations: DataFrame, memory: DataFrame, backend=None) ->
 
 
 def add_predicted_verdicts(t: Tables, model: PipelineModel) -> None:
-    reviews = t.read("has_reviewed").drop("predicted_verdict", "predicted_verdict_confidence")
-    t.replace("has_reviewed", models.predict_verdicts(model, reviews))
+    old = ("predicted_verdict", "predicted_verdict_confidence")
+    t.rewrite("has_reviewed", lambda reviews: models.predict_verdicts(model, reviews.drop(*old)))
 
 
 # Links, labels, split.
 
 
 def link_nodes(t: Tables, node_type: str = "post", start_from_scratch: bool = False, threshold: float = LINK_THRESHOLD) -> int:
-    """Links of all claims that have none of the kind yet; returns the number of links."""
+    """Links of all claims that have none of the kind yet; returns the number of links. Vectors of
+    earlier passes are brought to the newest word weights first."""
     if node_type not in ("post", "article"):
         raise ValueError(f"unknown node type {node_type!r}")
     key, name = f"{node_type}_id", f"{node_type}_similar_claim"
     if start_from_scratch:
         t.drop(name)
+    refresh_embeddings(t)
     claims = t.read("claim")
     if t.exists(name):
         claims = linking.unlinked_claims(claims, t.read(name), threshold)
@@ -280,8 +359,8 @@ def add_label_nodes(t: Tables, sizes: dict[str, float] = SIZES, priority: str =
 
 
 def train_val_test_split(t: Tables) -> None:
-    labs = t.read("label").drop("train_mask", "val_mask", "test_mask")
-    t.replace("label", labels.split_labels(labs, t.read("has_label"), t.read("claim")))
+    has_label, claims = t.read("has_label"), t.read("claim")
+    t.rewrite("label", lambda labs: labels.split_labels(labs.drop("train_mask", "val_mask", "test_mask"), has_label, claims))
 
 
 # Neighbourhoods.
@@ -341,13 +420,13 @@ def populate_replies(t: Tables, landed: DataFrame, kind: str = "reply_to") -> No
 def populate_timelines(t: Tables, landed: DataFrame) -> None:
     posts, edges = frontier.insert_timelines(t.read("post").select("post_id"), t.read("user"), _posted(t), landed)
     posts, edges = cut_lineage(posts), cut_lineage(edges.select(F.col("user_id").alias("src"), F.col("post_id").alias("tgt")))
-    t.replace("post", t.read("post").unionByName(posts, allowMissingColumns=True))
+    t.insert("post", posts, ["post_id"])
     t.insert("user_posted_post", edges, ["src", "tgt"])
 
 
 def _add(t: Tables, users: DataFrame, edges: DataFrame, name: str, keys: list[str]) -> None:
     users, edges = cut_lineage(users), cut_lineage(edges)
-    t.replace("user", t.read("user").unionByName(users, allowMissingColumns=True))
+    t.insert("user", users, ["user_id"])
     t.insert(name, edges, keys)
 
 
@@ -399,7 +478,7 @@ def dump_claim_embeddings(t: Tables, path: str) -> None:
 
 
 def cache_post_embeddings(t: Tables, path: str, overwrite: bool = False) -> None:
-    t.replace("post", release.cache_embeddings(t.read("post"), path, overwrite))
+    t.rewrite("post", lambda posts: release.cache_embeddings(posts, path, overwrite))
 
 
 def dump_ego_networks(t: Tables, path: str, top: int = 10, threshold: float = LINK_THRESHOLD) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -85,6 +85,20 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def broken_keys(spark: SparkSession, keys: dict[str, DataFrame]) -> DataFrame:
+    """``(key, n_keys, n_rows, example)``: of each named one-column frame, how many values occur more than
+    once and in how many rows; null is no value. Keys without a repeat have no row.
+
+    All frames are stacked as (name, value) and go through one aggregate, so an audit of many
+    tables is one shuffle of their keys, combined before it.
+    """
+    stacked = spark.createDataFrame([], "key string, value string")
+    for name, df in keys.items():
+        stacked = stacked.union(df.select(F.lit(name), F.col(df.columns[0]).cast("string")))
+    counted = stacked.dropna().groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return counted.groupBy("key").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows"), F.min("value").alias("example"))
+
+
 def split_points(df: DataFrame, column: str, parts: int = 200) -> list:
     """At most ``parts - 1`` approximate quantiles of a numeric column."""
     shares = [i / parts for i in range(1, parts)]

@@ -428,14 +428,16 @@ def _(v: Views):
     return frontier.retweet_frontier(_strong(v), v.posts, v.retweeted)
 
 
-def _wordless(v: Views):
-    """Posts by well followed users, so that the others have none of their own."""
-    return v.posted.join(v.users.filter("followers_count > 3000").select("user_id"), "user_id", "left_semi").select("user_id", "post_id")
+def _silent_follows(v: Views):
+    """Follows, and beside them who clicked on a user's page: accounts numbered behind all others, so
+    that they have no post of their own."""
+    clicks = v.table("events").filter("event_type = 'click'").select((F.col("event_id") + 1_000_000_000).alias("src"), F.col("user_id").alias("tgt"))
+    return v.follows.select("src", "tgt").union(clicks)
 
 
 @query("frontier_timelines")
 def _(v: Views):
-    return frontier.timelines(v.linked.select("post_id"), _wordless(v), v.retweeted, v.replies, v.follows, 10).select(
+    return frontier.timelines(v.linked.select("post_id"), v.posted, v.retweeted, v.replies, _silent_follows(v), 10).select(
         "user_id", F.col("kind").cast("bigint").alias("kind"), "batch_id"
     )
 
@@ -484,19 +486,19 @@ def _frontier_oracles():
         "posts", "retweeted",
     )
     ORACLES["frontier_timelines"] = with_views(
-        """, authored AS (SELECT p.* FROM posted p JOIN users u ON u.user_id = p.user_id WHERE u.followers_count > 3000),
-        near AS (SELECT a.user_id FROM authored a JOIN linked l ON l.post_id = a.post_id),
+        """, near AS (SELECT a.user_id FROM posted a JOIN linked l ON l.post_id = a.post_id),
+        known AS (SELECT src, tgt FROM follows UNION ALL SELECT event_id + 1000000000, user_id FROM events WHERE event_type = 'click'),
         kinds AS (
             SELECT user_id, 1 AS kind FROM near
             UNION ALL SELECT w.user_id, 1 FROM retweeted w JOIN linked l ON l.post_id = w.post_id
             UNION ALL SELECT r.user_id, 2 FROM replies r JOIN linked l ON l.post_id = r.post_id
-            UNION ALL SELECT f.src, 3 FROM follows f JOIN near n ON n.user_id = f.tgt
-            UNION ALL SELECT f.tgt, 3 FROM follows f JOIN near n ON n.user_id = f.src),
-        todo AS (SELECT user_id, min(kind) AS kind FROM kinds WHERE user_id NOT IN (SELECT user_id FROM authored) GROUP BY user_id)
+            UNION ALL SELECT f.src, 3 FROM known f JOIN near n ON n.user_id = f.tgt
+            UNION ALL SELECT f.tgt, 3 FROM known f JOIN near n ON n.user_id = f.src),
+        todo AS (SELECT user_id, min(kind) AS kind FROM kinds WHERE user_id NOT IN (SELECT user_id FROM posted) GROUP BY user_id)
         SELECT user_id, CAST(kind AS BIGINT) AS kind,
                CAST((row_number() OVER (PARTITION BY kind ORDER BY user_id) - 1) // 10 AS BIGINT) AS batch_id
         FROM todo""",
-        "linked", "posted", "users", "retweeted", "replies", "follows",
+        "linked", "posted", "retweeted", "replies", "follows",
     )
 
 
@@ -505,6 +507,25 @@ _frontier_oracles()
 # Upserts, counts, batches, plain SQL.
 
 
+@query(
+    "key_audit",
+    """, stacked AS (
+        SELECT 'post' AS key, CAST(post_id AS VARCHAR) AS value FROM posts UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR) FROM users
+        UNION ALL SELECT 'user_name', user_name FROM users UNION ALL SELECT 'claim', CAST(claim_id AS VARCHAR) FROM claims
+        UNION ALL SELECT 'url', url FROM pages UNION ALL SELECT 'tagged post', CAST(post_id AS VARCHAR) FROM has_hashtag
+        UNION ALL SELECT 'author', CAST(user_id AS VARCHAR) FROM posted UNION ALL SELECT 'event', CAST(user_id AS VARCHAR) FROM events),
+    n AS (SELECT key, value, count(*) AS n FROM stacked WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
+    SELECT key, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows, min(value) AS example FROM n GROUP BY key""",
+    ("posts", "users", "claims", "has_hashtag", "posted"),
+)
+def _(v: Views):
+    named = {
+        "post": (v.posts, "post_id"), "user_id": (v.users, "user_id"), "user_name": (v.users, "user_name"), "claim": (v.claims, "claim_id"),
+        "url": (v.table("pages"), "url"), "tagged post": (v.has_hashtag, "post_id"), "author": (v.posted, "user_id"), "event": (v.table("events"), "user_id"),
+    }
+    return keyed.broken_keys(v.spark, {k: df.select(c) for k, (df, c) in named.items()})
+
+
 @query(
     "upsert_graph_edges",
     """SELECT src, tgt, 'old' AS state FROM follows
@@ -523,13 +544,17 @@ def _(v: Views):
 
 @query(
     "upsert_graph_nodes",
-    """SELECT DISTINCT user_id FROM replies WHERE user_id NOT IN (SELECT user_id FROM users WHERE followers_count > 3000)""",
-    ("replies", "users"),
+    """SELECT DISTINCT event_id + 1000000000 AS user_id FROM events WHERE user_id IN (SELECT post_id FROM posts) AND event_type = 'click'
+       UNION SELECT user_id FROM replies WHERE user_id NOT IN (SELECT user_id FROM users)""",
+    ("replies", "users", "posts"),
 )
 def _(v: Views):
-    known = v.users.filter("followers_count > 3000").select("user_id")
-    users, _ = frontier.insert_replies(v.posts, known, v.replies.filter(F.lit(False)), v.replies)
-    return users
+    """Whole tables; clicks stand for replies of accounts that nobody knows yet."""
+    clicks = v.table("events").filter("event_type = 'click'").join(v.posts.select(F.col("post_id").alias("user_id")), "user_id", "left_semi")
+    unknown = clicks.select("event_id", (F.col("event_id") + 1_000_000_000).alias("user_id"), F.col("user_id").alias("post_id"))
+    pages = v.replies.select("reply_id", "user_id", "post_id").union(unknown)
+    users, _ = frontier.insert_replies(v.posts, v.users, v.replies, pages)
+    return users.select("user_id")
 
 
 @query(

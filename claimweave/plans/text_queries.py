@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from claimweave.functions import text
-from claimweave.functions.claims import VERDICT_IDS, verdict_id
+from claimweave.functions.claims import LINK_THRESHOLD, VERDICT_IDS, verdict_id
 from claimweave.operators import annotation, filters, linking, models, terms, translate
 from claimweave.operators.annotation import LANGUAGES
 from claimweave.plans.registry import query, score
@@ -363,13 +363,60 @@ def _(v: Views):
 # Models.
 
 
-@query("embed_text")
+_MASK = 4294967295
+
+
+def _vectors_sql(dimensions: int) -> str:
+    """Hashed tf-idf of the cleaned documents: ``vectors(post_id, v)`` with the dimensions in order. A word's
+    dimension is its 32-bit murmur3 hash with seed 42, which both engines can compute, modulo a power of two."""
+    each = "list_transform({}, lambda k: {})".format
+    turn = f"((k << {{0}}) | (k >> {{1}})) & {_MASK}".format
+
+    def mixed(blocks: str) -> str:
+        return each(each(each(blocks, f"(k * 3432918353) & {_MASK}"), turn(15, 17)), f"(k * 461845907) & {_MASK}")
+
+    byte = "(b[{0} + 1] | (b[{0} + 2] << 8) | (b[{0} + 3] << 16) | (b[{0} + 4] << 24))".format("4 * i")
+    tail = "list_reduce(list_prepend(0::UBIGINT, list_transform(range(4 * (n // 4), n), lambda i: b[i + 1] << (8 * (i % 4)))), lambda x, y: x | y)"
+    step = f"(((((xor(h, k) << 13) | (xor(h, k) >> 19)) & {_MASK}) * 5 + 3864292196) & {_MASK})"
+    return f""", words AS (SELECT post_id, unnest({_WORDS.format(_CLEAN_POST)}) AS word FROM dated_documents),
+    b AS (SELECT word, n, list_transform(range(n), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::UBIGINT) AS b
+        FROM (SELECT word, hex(word) AS hx, (length(hex(word)) // 2)::BIGINT AS n FROM (SELECT DISTINCT word FROM words))),
+    h1 AS (SELECT word, n, list_reduce(list_prepend(42::UBIGINT, {mixed(f"list_transform(range(n // 4), lambda i: {byte})")}), lambda h, k: {step}) AS h,
+        {mixed(f"[{tail}]")}[1] AS t FROM b),
+    h2 AS (SELECT word, xor(xor(h, t), n::UBIGINT) AS h FROM h1),
+    h3 AS (SELECT word, (xor(h, h >> 16) * 2246822507) & {_MASK} AS h FROM h2),
+    h4 AS (SELECT word, (xor(h, h >> 13) * 3266489909) & {_MASK} AS h FROM h3),
+    dims AS (SELECT word, (xor(h, h >> 16) % {dimensions})::BIGINT AS i FROM h4),
+    tf AS (SELECT post_id, i, count(*) AS tf FROM words JOIN dims ON dims.word = words.word GROUP BY ALL),
+    idf AS (SELECT i, ln((CAST((SELECT count(*) FROM dated_documents WHERE text IS NOT NULL) AS DOUBLE) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY i),
+    w AS (SELECT post_id, tf.i, tf * idf AS w FROM tf JOIN idf ON idf.i = tf.i),
+    unit AS (SELECT post_id, i, w / sqrt(sum(w * w) OVER (PARTITION BY post_id)) AS w FROM w),
+    cells AS (SELECT post_id, i FROM (SELECT post_id FROM dated_documents WHERE text IS NOT NULL), range({dimensions}) r(i)),
+    vectors AS (SELECT c.post_id, list(coalesce(w, 0.0) ORDER BY c.i) AS v FROM cells c LEFT JOIN unit u ON u.post_id = c.post_id AND u.i = c.i GROUP BY c.post_id)
+    """
+
+
+@query(
+    "embed_text",
+    _vectors_sql(256) + "SELECT post_id, array_to_string(list_transform(v, lambda x: CAST(round(x * 1000000) AS BIGINT)), ' ') AS embedding FROM vectors",
+    ("dated_documents",),
+)
 def _(v: Views):
+    """Unit vectors, in millionths."""
     docs = v.dated_documents.select("post_id", "text")
-    return models.embed(docs, "text", text.clean_post, 256).select("post_id", "embedding")
+    millionths = F.transform("embedding", lambda x: F.round(x * 1_000_000).cast("bigint").cast("string"))
+    return models.embed(docs, "text", text.clean_post, 256).select("post_id", F.array_join(millionths, " ").alias("embedding"))
 
 
-@query("link_embedded_texts")
+@query(
+    "link_embedded_texts",
+    _vectors_sql(512)
+    + f""", dated AS (SELECT d.post_id, created_at, v FROM vectors JOIN dated_documents d ON d.post_id = vectors.post_id WHERE list_max(v) > 0),
+    s AS (SELECT p.post_id, c.post_id AS claim_id, list_inner_product(p.v, c.v) AS s
+        FROM dated p JOIN dated c ON p.created_at BETWEEN c.created_at - INTERVAL 3 DAYS AND c.created_at)
+    SELECT post_id, claim_id, round(s, 6) AS score FROM s WHERE s > {LINK_THRESHOLD}""",
+    ("dated_documents",),
+)
 def _(v: Views):
     """Documents as claims against documents as posts, at the real threshold: copies and
     near copies that are not younger than the claim."""
