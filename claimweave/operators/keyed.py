@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimweave.session import cut_lineage
+
 
 def _quoted(names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
@@ -99,45 +101,32 @@ def broken_keys(spark: SparkSession, keys: dict[str, DataFrame]) -> DataFrame:
     return counted.groupBy("key").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows"), F.min("value").alias("example"))
 
 
-def split_points(df: DataFrame, column: str, parts: int = 200) -> list:
-    """At most ``parts - 1`` approximate quantiles of a numeric column."""
-    shares = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(column, shares, 10000).alias("q")).first().q
-    return sorted(set(found or []))
-
-
-def running_before(
-    df: DataFrame, group: Sequence[str], lead: Sequence[str], order: str, value: Column, parts: int = 200
-) -> DataFrame:
+def running_before(df: DataFrame, group: Sequence[str], lead: Sequence[str], order: str, value: Column) -> DataFrame:
     """Add ``before``: the sum of ``value`` over the earlier rows of the group.
 
-    Rows are ordered by ``(lead, order)``, which is unique inside a group. A plain window
-    would put a whole group into one task. Here rows are cut at quantiles of ``order``;
-    only the totals of the cuts, at most ``parts`` per ``lead`` value, go through a window
-    over the group, and each cut is summed on its own. Any cut points give the same
-    result; they only decide the balance. ``df`` is read three times and should be a written
-    table when it is dear to compute.
+    Rows are ordered by ``(lead, order)``, of any sortable types, nulls first; rows that tie in all of it follow
+    each other in some order. A plain window would put a whole group into one task. Here the rows
+    are dealt into slices by range over ``(group, lead, order)``, as many as the session has shuffle
+    partitions, so that a group with most of the rows is many slices; each is summed on its own, and only one total per slice
+    and group goes through a window over the group. ``df`` is read once.
     """
-    cuts = split_points(df, order, parts)
-    bucket = F.lit(0)
-    if cuts:
-        at = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.size(F.filter(at, lambda c: c <= F.col(order)))
-    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    keys = [*group, *lead, "_bucket"]
-    totals = rows.groupBy(*keys).agg(F.sum("_value").alias("_total"))
-    earlier = Window.partitionBy(*group).orderBy(*lead, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*group, *lead, order]
+    dealt = df.withColumn("_value", value).repartitionByRange(*_quoted(keys)).withColumn("_slice", F.spark_partition_id())
+    rows = cut_lineage(dealt)
+    slices = [*group, "_slice"]
+    totals = rows.groupBy(*_quoted(slices)).agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(*_quoted(group)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
-    local = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = F.coalesce(F.sum("_value").over(local), F.lit(0))
-    summed = rows.withColumn("_inner", inner).join(offsets, keys)
-    return summed.withColumn("before", F.col("_inner") + F.col("_offset")).drop(
-        "_bucket", "_value", "_inner", "_offset"
-    )
+    offsets = offsets.select(*[F.col(f"`{c}`").alias(f"_of_{c}") for c in slices], "_offset")
+    local = Window.partitionBy(*_quoted(slices)).orderBy(*_quoted([*lead, order])).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("_inner", F.coalesce(F.sum("_value").over(local), F.lit(0)))
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`_of_{c}`")) for c in slices]
+    joined = summed.join(offsets, same).withColumn("before", F.col("_inner") + F.col("_offset"))
+    return joined.drop("_value", "_slice", "_inner", "_offset", *[f"_of_{c}" for c in slices])
 
 
 def batch_ids(df: DataFrame, id_col: str, size: int, group: Sequence[str] = ()) -> DataFrame:
-    """Number the ids in ascending order and cut them into batches of ``size``; the last,
+    """Number the ids, of any sortable type, in ascending order and cut them into batches of ``size``; the last,
     shorter batch is kept."""
     work = df if group else df.withColumn("_all", F.lit(0))
     numbered = running_before(work, list(group) or ["_all"], [], id_col, F.lit(1).cast("bigint"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.claims import SIZES, is_ruled
+from claimweave.operators.components import components
 from claimweave.operators.keyed import running_before
 from claimweave.session import cut_lineage
 
@@ -39,11 +43,47 @@ def label_seeds(links: DataFrame, reviews: DataFrame, sizes: dict[str, float] =
     )
 
 
+def _by_component(state: DataFrame, local_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``state(size, post_id, claim_id, pri)`` split into components of at most ``local_rows`` rows, with
+    their ``root``, and the rest. Each post links its seeds to its least one, a star and no pairs."""
+    least = state.groupBy("size", "post_id").agg(F.min("claim_id").alias("least"))
+    stars = state.join(least, ["size", "post_id"]).select(F.struct("size", "claim_id").alias("a"), F.struct("size", F.col("least").alias("claim_id")).alias("b"))
+    found = components(stars)
+    found = found.select("node.size", "node.claim_id", F.col("component.claim_id").alias("root"))
+    placed = state.join(found, ["size", "claim_id"], "left").withColumn("root", F.coalesce("root", "claim_id"))
+    placed = cut_lineage(placed)
+    giant = placed.groupBy("size", "root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > local_rows).select("size", "root")
+    giant = cut_lineage(giant)
+    rest = placed.join(giant, ["size", "root"], "left_semi").drop("root")
+    return placed.join(giant, ["size", "root"], "left_anti"), rest.select(state.columns)
+
+
+def _first_come(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Founders among seeds that come component by component and in order, one row per post."""
+    group, seed, posts, taken = None, None, [], set()
+    for batch in batches:
+        found = []
+        for size, root, claim, post in batch.itertuples(index=False):
+            if seed is not None and (claim != seed or (size, root) != group):
+                if taken.isdisjoint(posts):
+                    found.append((group[0], seed))
+                    taken.update(posts)
+                posts = []
+            if (size, root) != group:
+                group, taken = (size, root), set()
+            seed = claim
+            posts.append(post)
+        yield pd.DataFrame(found, columns=["size", "claim_id"])
+    if seed is not None and taken.isdisjoint(posts):
+        yield pd.DataFrame([(group[0], seed)], columns=["size", "claim_id"])
+
+
 def propagate_labels(
     links: DataFrame,
     seeds: DataFrame,
     sizes: dict[str, float] = SIZES,
     priority: str = "id",
+    local_rows: int = 1_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Greedy labels: go through the seeds in order; a seed without a label gets its own
     and hands it to every unlabelled claim that shares a post with it.
@@ -52,13 +92,17 @@ def propagate_labels(
     ``labels(label_id, size, verdict)`` and ``has_label(claim_id, label_id, size)``; the id
     of a label is the claim that founded it.
 
-    A seed founds a label exactly when no earlier seed that shares a post with it does, so
-    founders are found in rounds: a seed that is the earliest open one on all its posts
+    A seed founds a label exactly when no earlier seed that shares a post with it does, so seeds
+    that no chain of posts connects do not touch each other. Seeds are split into such
+    components; one of at most ``local_rows`` seed and post pairs is settled in order by one task, which
+    reads them as a stream and remembers only its taken posts. So a chain of any order costs no rounds.
+
+    Only larger components go in rounds: a seed that is the earliest open one on all its posts
     founds, the open seeds next to it are out. Every round settles the earliest open seed at
     least, so it ends by itself. Each round takes minima per post and then
     per claim, so its cost is linear in the links and no pair of claims is formed, however
     many claims share a post. ``priority='hash'`` orders the seeds at random (repeatably),
-    which keeps the number of rounds small on long chains of ascending ids.
+    which keeps the number of rounds small there too.
     """
     order = F.col("claim_id") if priority == "id" else F.struct(F.xxhash64("claim_id").alias("h"), F.col("claim_id"))
     seeds = cut_lineage(seeds.withColumn("pri", order))
@@ -72,6 +116,10 @@ def propagate_labels(
     # A seed without a post (linked through articles alone) founds its own label at once.
     founders = seeds.join(edges.select(*key), key, "left_anti").select(*key, "pri")
     state = cut_lineage(edges.join(seeds.select(*key, "pri"), key))
+    local, state = _by_component(state, local_rows)
+    settled = local.repartition("size", "root").sortWithinPartitions("size", "root", "pri", "claim_id").select("size", "root", "claim_id", "post_id")
+    first_come = settled.mapInPandas(_first_come, seeds.select(*key).schema)
+    founders = founders.unionByName(first_come.join(seeds.select(*key, "pri"), key))
     done = 0
     while not state.isEmpty():
         first_seed = state.groupBy("size", "post_id").agg(F.min("pri").alias("first"))

@@ -3,6 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from claimweave import session
+from claimweave.operators import components as comps
 from claimweave.operators import labels
 
 LINKS = "post_id bigint, claim_id bigint, score double"
@@ -67,7 +69,56 @@ def test_rounds_equal_the_sequential_rule(spark, seed):
         best[p, c] = max(s, best.get((p, c), 0))
     edges = [(p, c, s) for (p, c), s in best.items()]
     seeds = [(z, c) for z in sizes for c in range(30) if rng.random() < 0.5]
-    assert propagate(spark, edges, seeds, sizes) == greedy(edges, seeds, sizes)
+    want = greedy(edges, seeds, sizes)
+    assert propagate(spark, edges, seeds, sizes) == want
+    # Components of more rows than this go in rounds; at 20 some do and some do not.
+    for limit in (0, 20):
+        assert propagate(spark, edges, seeds, sizes, local_rows=limit) == want
+
+
+def test_a_chain_of_thousands_is_few_tables(spark, monkeypatch):
+    written = []
+
+    def counted(df):
+        written.append(df)
+        return session.cut_lineage(df)
+
+    monkeypatch.setattr(labels, "cut_lineage", counted)
+    monkeypatch.setattr(comps, "cut_lineage", counted)
+    n = 5000
+    edges = [(i, c, 0.9) for i in range(n) for c in (i, i + 1)]
+    got = propagate(spark, edges, [("small", i) for i in range(n + 1)])
+    # Every second seed founds; the one after it is taken.
+    assert got == {("small", i): i - i % 2 for i in range(n + 1)}
+    assert len(written) <= 30
+
+
+def test_a_hot_component(spark):
+    # One post joins all seeds; each has a post of its own too.
+    edges = [(0, c, 0.9) for c in range(600)] + [(1 + c, c, 0.9) for c in range(600)]
+    seeds = [("small", c) for c in range(600)]
+    for limit in (10, 1_000_000):
+        assert set(propagate(spark, edges, seeds, local_rows=limit).values()) == {0}
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(7, 7), (300, 301), (301, 302), (303, 302), (250, 251)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    want = {x: root(x) for a, b in pairs for x in (a, b)}
+    alone = {x for x in want if all(a == b or x not in (a, b) for a, b in pairs)}
+    got = {r.node: r.component for r in comps.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {x: c for x, c in want.items() if x not in alone}
+    assert comps.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 def test_long_chain_and_hashed_order(spark):

@@ -208,7 +208,7 @@ def test_batches_keep_the_rest(spark, n, size):
 def test_running_sums_with_ties_in_front(spark):
     data = [(g, n, c) for g in "ab" for n, c in [(1, 9), (1, 3), (1, 5), (2, 1), (2, 8), (5, 2)]]
     df = spark.createDataFrame(data, "g string, n bigint, c bigint")
-    out = keyed.running_before(df, ["g"], ["n"], "c", F.col("n"), parts=3)
+    out = keyed.running_before(df, ["g"], ["n"], "c", F.col("n"))
     assert {(r.g, r.c): r.before for r in out.collect()} == {
         (g, c): b for g in "ab" for c, b in [(3, 0), (5, 1), (9, 2), (1, 3), (8, 5), (2, 7)]}
 
@@ -261,3 +261,18 @@ def test_metrics(spark):
     m = models.classifier_metrics(df).first()
     assert m.prec_factual == 1.0 and m.prec_misinformation == pytest.approx(2 / 3) and m.prec_other == 0.0
     assert m.f1_factual == pytest.approx(2 / 3) and m.f1_misinformation == pytest.approx(0.8) and m.f1_macro == pytest.approx((2 / 3 + 0.8) / 3)
+
+
+def test_numbers_for_text_ids_ties_and_skew(spark):
+    ids = [f"id-{i % 700:04}" for i in range(1000)] + ["hot"] * 800 + [None, "é", ""]
+    df = spark.createDataFrame([(i,) for i in ids], "id string").repartition(7)
+    got = keyed.batch_ids(df, "id", 50).collect()
+    assert sorted(r.batch_id for r in got) == [k // 50 for k in range(len(ids))]
+    where = {}
+    for r in got:
+        where.setdefault(r.id, []).append(r.batch_id)
+    order = sorted(where, key=lambda i: (i is not None, (i or "").encode()))
+    assert all(max(where[a]) <= min(where[b]) for a, b in zip(order, order[1:]))
+    per_group = keyed.batch_ids(df.withColumn("g", F.when(F.col("id") == "hot", "h")), "id", 3, ["g"]).collect()
+    assert sorted(r.batch_id for r in per_group if r.g == "h") == [k // 3 for k in range(800)]
+    assert keyed.batch_ids(df.filter("false"), "id", 3).count() == 0
