@@ -163,13 +163,12 @@ def _(v: Views):
     ranked AS (
         SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY score DESC, pos ROWS UNBOUNDED PRECEDING) AS upto,
                row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rn FROM scored)
-    SELECT r.doc_id, string_agg(CASE WHEN r.n > 60 THEN array_to_string(string_split_regex(l.sentence, '\\s+')[1:60], ' ') ELSE l.sentence END,
-                                ' ' ORDER BY r.pos) AS summary
+    SELECT r.doc_id, string_agg(l.sentence, ' ' ORDER BY r.pos) AS summary
     FROM ranked r JOIN lines l ON l.doc_id = r.doc_id AND l.pos = r.pos
-    WHERE r.upto <= 60 OR r.rn = 1 GROUP BY r.doc_id""",
+    WHERE r.upto <= 512 OR r.rn = 1 GROUP BY r.doc_id""",
 )
 def _(v: Views):
-    return terms.summaries(v.texts("documents"), "doc_id", "text", max_tokens=60)
+    return terms.summaries(v.texts("documents"), "doc_id", "text")
 
 
 # Translation through a memory that the tables themselves fill.
