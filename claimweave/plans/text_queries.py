@@ -14,7 +14,7 @@ from claimweave.operators.annotation import LANGUAGES
 from claimweave.plans.registry import query, score
 from claimweave.plans.views import Views
 from claimweave.session import cut_lineage, shared_dir
-from claimweave.streaming.incremental import upsert_stream
+from claimweave.streaming.incremental import stream_table, upsert_stream
 
 _TRIM = "trim({}, E' \\n\\t\\r')"
 
@@ -471,5 +471,5 @@ def _(v: Views):
     schema = v.table("events").schema
     source = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.dir)
     upsert_stream(source, f"{root}/table", f"{root}/checkpoint", ["user_id"], ["ts", "event_id"]).awaitTermination()
-    rows = v.spark.read.parquet(f"{root}/table")
+    rows = stream_table(v.spark, f"{root}/table")
     return rows.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("first_seen"), "event_type")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from claimweave.operators.keyed import insert_absent, upsert_first
+from claimweave.tables import Tables
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -55,43 +55,51 @@ def process_rest(
     return n
 
 
-def _epoch(path: str, epoch: int) -> str:
-    return f"{path}/epoch={epoch}"
+def first_writers(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key of a stream: of the earliest micro-batch that has the key, and in
+    it the first in ``order``; rows without a key are left out. For update mode.
 
-
-def first_writer_sink(path: str, keys: list[str], order: list[str], transform=None):
-    """A ``foreachBatch`` function: rows whose key is new are added, first writer wins
-    inside a batch and across batches.
-
-    Each micro-batch owns one folder and overwrites it, so a batch that is run again after
-    a failure replaces its own rows: it compares with the folders of earlier epochs only.
+    What has been seen is keyed state of the stream, one row a key, which each task looks up by key. So
+    a batch costs what it holds, however long the stream has run; a
+    state store on disk (RocksDB) keeps it out of memory. Batches are told apart by their times, so the
+    driver's clock must not be set back.
     """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = transform(batch) if transform else batch
-        fresh = upsert_first(rows, keys, order)
-        if table_exists(spark, path):
-            old = spark.read.parquet(path).filter(F.col("epoch") < epoch)
-            fresh = insert_absent(old, fresh, keys)
-        fresh.write.mode("overwrite").parquet(_epoch(path, epoch))
-
-    return write
+    rest = [c for c in stream.columns if c not in keys]
+    stamped = stream.dropna(subset=keys).withColumn("_at", F.current_timestamp())
+    best = F.min_by(F.struct("_at", *rest), F.struct("_at", *order)).alias("_row")
+    seen = stamped.groupBy(*keys).agg(best, F.max("_at").alias("_last"))
+    # A key that was there before comes out again with its old row.
+    return seen.filter("_row._at = _last").select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 
 
 def upsert_stream(
     source: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], transform=None
 ) -> StreamingQuery:
-    """Upsert everything a streaming source has now, then stop. The checkpoint remembers
-    the files, so a later run takes up only new ones."""
+    """Upsert everything a streaming source has now into the table at ``path``, then stop; first writer
+    wins. The checkpoint remembers the files and the keys, so a later run takes up only new ones; a
+    batch that is run again after a failure adds nothing twice. Read it with :func:`stream_table`."""
+    tables, name = _table(source.sparkSession, path)
+    rows = first_writers(transform(source) if transform else source, keys, order).select(source.columns if transform is None else "*")
     return (
-        source.writeStream.foreachBatch(first_writer_sink(path, keys, order, transform))
+        rows.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, epoch: tables.append(name, batch, epoch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _table(spark: SparkSession, path: str) -> tuple[Tables, str]:
+    root, name = path.rstrip("/").rsplit("/", 1)
+    return Tables(spark, root), name
+
+
+def stream_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that :func:`upsert_stream` writes."""
+    tables, name = _table(spark, path)
+    return tables.read(name)
+
+
 def new_names(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Searches or reviewers that have no output yet."""
     return wanted.join(done.select(key).distinct(), key, "left_anti")

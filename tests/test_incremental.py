@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from claimweave import tables
 from claimweave.streaming import incremental as inc
+from claimweave.tables import Tables
 
 
 def rows(df, *cols):
@@ -18,7 +20,7 @@ def test_stream_upsert_in_steps(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
         inc.upsert_stream(stream, table, check, ["id"], ["n"]).awaitTermination()
-        return rows(spark.read.parquet(table), "id", "v")
+        return rows(inc.stream_table(spark, table), "id", "v")
 
     land((1, "a", 2), (1, "b", 1), (2, "c", 1), (None, "x", 0))
     assert run() == [(1, "b"), (2, "c")]
@@ -29,13 +31,35 @@ def test_stream_upsert_in_steps(spark, tmp_path):
     assert run() == [(1, "b"), (2, "c"), (3, "d"), (4, "f")]
 
 
-def test_a_batch_run_twice_replaces_itself(spark, tmp_path):
-    sink = inc.first_writer_sink(str(tmp_path / "t"), ["id"], ["n"])
-    batch = spark.createDataFrame([(1, 1), (2, 1)], "id bigint, n bigint")
-    sink(batch, 0)
-    sink(spark.createDataFrame([(2, 0), (3, 0)], "id bigint, n bigint"), 1)
-    sink(spark.createDataFrame([(2, 0), (3, 0)], "id bigint, n bigint"), 1)
-    assert rows(spark.read.parquet(str(tmp_path / "t")), "id", "n") == [(1, 1), (2, 1), (3, 0)]
+def test_a_batch_run_twice_adds_nothing(spark, tmp_path):
+    t = Tables(spark, str(tmp_path))
+    batch = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id bigint")
+    t.append("t", batch(1, 2), 0)
+    t.append("t", batch(3), 1)
+    t.append("t", batch(3), 1)
+    t.append("t", batch(1, 2), 0)
+    assert rows(t.read("t"), "id") == [(1,), (2,), (3,)]
+
+
+def test_batches_cost_what_they_hold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "MANY", 4)
+    src, table, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema, want = "id bigint, n bigint", {}
+    written, write = [], Tables._write
+    monkeypatch.setattr(Tables, "_write", lambda self, name, df, level=0: written.append(level) or write(self, name, df, level))
+    for k in range(25):
+        data = [(k, k), (k // 2, 1000 + k), (100 + k, 0)]
+        for i, n in sorted(data, key=lambda r: r[1]):
+            want.setdefault(i, n)
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(src)
+        if k in (9, 10, 24):
+            # Stopped and started again; one file a batch.
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+            inc.upsert_stream(stream, table, check, ["id"], ["n"]).awaitTermination()
+    assert dict(rows(inc.stream_table(spark, table), "id", "n")) == want
+    # Twenty-five batches: one write each, and merges of four folders.
+    assert written.count(0) == 25 and written.count(1) == 6 and written.count(2) == 1
+    assert len(inc._table(spark, table)[0]._newest("out")[1]["folders"]) <= 3 * 4
 
 
 def test_process_the_rest(spark, tmp_path):
