@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text
 from claimweave.functions.claims import LINK_THRESHOLD, SIZES, parse_date
-from claimweave.operators import annotation, ego, expansion, filters, frontier, labels, linking, models, nodes, terms
+from claimweave.operators import annotation, attempts, ego, expansion, filters, frontier, labels, linking, models, nodes, terms
 from claimweave.operators import translate as tr
 from claimweave.operators.keyed import broken_keys
 from claimweave.session import cut_lineage
@@ -68,7 +68,8 @@ def fetch_posts(api_pages: DataFrame, root: str, prefix: str = "") -> int:
 
     A search is finished once the table ``done`` names it, which is written last. Each table
     overwrites the folders of the searches at hand, so a run that failed half way is repaired
-    by the next one and nothing is there twice.
+    by the next one and nothing is there twice. A search with a page of an unexpected error is noted in
+    the table ``attempts`` and is not finished until it was tried :data:`attempts.MOST` times.
     """
     spark = api_pages.sparkSession
     done = Tables(spark, root)
@@ -79,11 +80,33 @@ def fetch_posts(api_pages: DataFrame, root: str, prefix: str = "") -> int:
     for name, df in pages.flatten_api_pages(named).items():
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("query").parquet(f"{root}/{name}")
-    searches = cut_lineage(named.select("query").distinct())
+    said = pages.page_errors(named).groupBy("query").agg(F.max("detail").alias("error"))
+    tried = cut_lineage(named.select("query").distinct().join(said, "query", "left"))
+    record(done, "fetch_posts", tried, "query")
+    failing = done.read("attempts").filter("job = 'fetch_posts'").join(attempts.given_up(done.read("attempts")), ["job", "key"], "left_anti")
+    searches = cut_lineage(tried.join(failing.select(F.col("key").alias("query")), "query", "left_anti").select("query"))
     done.insert("done", searches, ["query"])
     return searches.count()
 
 
+# Failures.
+
+
+def record(t: Tables, job: str, results: DataFrame, key: str) -> None:
+    """Note the ``results(key, error)`` of a pass in the table ``attempts``."""
+    noted = cut_lineage(results.select(F.lit(job).alias("job"), F.col(key).cast("string").alias("key"), "error"))
+    t.rewrite("attempts", lambda ledger: attempts.fold(ledger, noted), attempts.LEDGER)
+
+
+def rejects(t: Tables, most: int = attempts.MOST) -> DataFrame:
+    """``(job, key, tries, error)`` of what is not tried any more."""
+    return attempts.given_up(t.get("attempts", attempts.LEDGER), most)
+
+
+def _open(t: Tables, job: str, rest: DataFrame, key: str) -> DataFrame:
+    return attempts.open_work(rest, key, t.get("attempts", attempts.LEDGER), job)
+
+
 def fetch_posts_for_claims(claims: DataFrame, posts: DataFrame, top_n: int = 5) -> DataFrame:
     """Posts that match a keyword of a claim in its window, per reviewer and keyword."""
     words = terms.keywords(claims, "claim_id", "text", top_n)
@@ -240,7 +263,8 @@ def _embed(t: Tables, name: str, source: str, clean, start_from_scratch: bool, d
     key = EMBEDDED[name]
     if start_from_scratch:
         _forget_counts(t, name)
-    rest = cut_lineage(_rest(t, name, [source], "embedding", start_from_scratch).select(key, F.col(source).alias("doc")))
+    rest = _open(t, f"embed_{name}", _rest(t, name, [source], "embedding", start_from_scratch), key)
+    rest = cut_lineage(rest.select(key, F.col(source).alias("doc")))
     n, version = rest.count(), F.lit(None).cast("long")
     if n:
         if not options.keys() & {"encoder", "load_encoder"}:
@@ -248,7 +272,13 @@ def _embed(t: Tables, name: str, source: str, clean, start_from_scratch: bool, d
             number = add_embedding_counts(t, counts, name)
             options = {"weights": models.term_weights(t.read(_COUNTS).filter(F.col("version") <= number))}
             version = F.lit(number).cast("long")
-        vectors = models.embed(rest, "doc", clean, **options).select(key, "embedding", version.alias("embedding_version"))
+        else:
+            options["error"] = "error"
+        made = models.embed(rest, "doc", clean, **options)
+        if "error" in options:
+            made = cut_lineage(made)
+            record(t, f"embed_{name}", made, key)
+        vectors = made.select(key, "embedding", version.alias("embedding_version"))
         stored = t.read(name)
         if start_from_scratch and "embedding_version" in stored.columns:
             t.rewrite(name, lambda stored: stored.drop("embedding_version"))
@@ -269,8 +299,13 @@ def embed_articles(t: Tables, start_from_scratch: bool = False, column: str = "s
 
 
 def _translate(t: Tables, name: str, key: str, source: str, out: str, memory: DataFrame, backend) -> None:
-    rest = _rest(t, name, [source], out, False).select(key, source)
-    t.fill_property(name, tr.translate_to(rest, source, memory, out, "en", backend).select(key, out), key)
+    """Texts that the backend fails on are noted, tried again in later passes, and then left."""
+    job = f"translate_{name}_{source}"
+    rest = _open(t, job, _rest(t, name, [source], out, False), key).select(key, source)
+    done = cut_lineage(tr.translate_to(rest, source, memory, out, "en", backend, "error").select(key, out, "error"))
+    t.fill_property(name, done.select(key, out), key)
+    if backend is not None:
+        record(t, job, done, key)
 
 
 def translate_posts(t: Tables, memory: DataFrame, backend=None) -> None:
@@ -283,10 +318,14 @@ def translate_claims(t: Tables, memory: DataFrame, backend=None) -> None:
 
 def translate_articles(t: Tables, memory: DataFrame, backend=None) -> None:
     """Titles at once, contents line by line; contents with an untranslatable line are
-    flagged and not tried again."""
+    flagged and not tried again. Those that the backend failed on are among the :func:`rejects` at once."""
     _translate(t, "article", "article_id", "title", "title_en", memory, backend)
     rest = _rest(t, "article", ["content"], "content_en", False, "not_translatable").select("article_id", "content")
-    t.fill_property("article", tr.translate_lines(rest, "article_id", "content", memory, "content_en", "en", backend), "article_id")
+    done = cut_lineage(tr.translate_lines(rest, "article_id", "content", memory, "content_en", "en", backend, "error"))
+    t.fill_property("article", done.drop("error"), "article_id")
+    if backend is not None:
+        for _ in range(attempts.MOST):
+            record(t, "translate_article_content", done, "article_id")
 
 
 def summarise_articles(t: Tables, start_from_scratch: bool = False, max_tokens: int = 512) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text
 from claimweave.functions.claims import LINK_THRESHOLD, VERDICT_IDS, verdict_id
-from claimweave.operators import annotation, filters, linking, models, terms, translate
+from claimweave.operators import annotation, attempts, filters, linking, models, terms, translate
 from claimweave.operators.annotation import LANGUAGES
 from claimweave.plans.registry import query, score
 from claimweave.plans.views import Views
@@ -457,6 +457,32 @@ def _(v: Views):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+# Failures.
+
+_PASS = """SELECT key, count(error) AS tries, max(error) AS error, bool_or(error IS NULL) AS ok FROM (
+    SELECT user_id || '-' || event_id % 40 AS key, CASE WHEN event_type = 'error' THEN 'error ' || event_id % 7 END AS error
+    FROM events WHERE event_id % 2 = {}) GROUP BY key"""
+
+
+@query(
+    "attempt_ledger",
+    f"""WITH one AS (SELECT * FROM ({_PASS.format(0)}) WHERE NOT ok), two AS ({_PASS.format(1)})
+    SELECT 'sync' AS job, coalesce(one.key, two.key) AS key, CAST(coalesce(one.tries, 0) + coalesce(two.tries, 0) AS BIGINT) AS tries,
+           coalesce(two.error, one.error) AS error, coalesce(one.tries, 0) + coalesce(two.tries, 0) >= 2 AS given_up
+    FROM one FULL JOIN two ON one.key = two.key WHERE NOT coalesce(two.ok, false)""",
+)
+def _(v: Views):
+    """Two passes over the events; those of kind error failed."""
+    events = v.table("events").select(
+        "event_id", F.lit("sync").alias("job"), F.concat("user_id", F.lit("-"), F.col("event_id") % 40).alias("key"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("error "), F.col("event_id") % 7)).alias("error"),
+    )
+    ledger = v.spark.createDataFrame([], attempts.LEDGER)
+    for half in (0, 1):
+        ledger = attempts.fold(ledger, events.filter(F.col("event_id") % 2 == half).drop("event_id"))
+    return ledger.select("job", "key", "tries", "error", (F.col("tries") >= 2).alias("given_up"))
+
+
 # Streams.
 
 
