@@ -55,8 +55,9 @@ class WordIds(dict):
     straight to the tokenizer's model.
     """
 
-    #: A full stop or comma next to another such character, or a special token's start.
-    ODD = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s].)|(?<=_.))|<\|")
+    #: A full stop or comma next to another such character, or a special token's start; and the
+    #: separators that are white space for this expression and not for the tokenizer.
+    ODD = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s].)|(?<=_.))|<\||[\x1c-\x1f]")
 
     def __init__(self, path: str, room: int = CACHE_WORDS):
         from tokenizers import Tokenizer
