@@ -369,11 +369,32 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     Words are runs of characters that are not ASCII white space, A-Z in lower case. A text of
     fewer words than a shingle is one shingle; null texts and texts without words have none and
     link with nothing. ``component_id`` is the smallest doc_id reachable by links. Repeated rows
-    give repeated results; rows with one id but several texts have their own sizes, join what
-    equals any of them, and are compared by the smallest text; a null id has a null component
+    give repeated results; rows with one id but several texts have their own sizes and links, and are
+    one component together; a null id has a null component
     and links with nothing. Extra columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text_hash = F.xxhash64("text")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(text_hash).alias("a"), F.max(text_hash).alias("b"))
+    several = cut_lineage(several.where("a <> b").select(F.col("doc_id").alias("_own")))
+    same = None
+    if not several.isEmpty():
+        # Each text of such an id is a node of its own, below zero, tied to the id's other ones.
+        own = rows.join(small(several), F.col("doc_id") == F.col("_own"), "left")
+        node = F.when(F.col("_own").isNotNull(), -1 - F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))).otherwise(F.col("doc_id"))
+        rows = own.select(node.alias("doc_id"), "text")
+        same = cut_lineage(own.where("_own is not null").select(node.alias("_rid"), "_own").distinct())
+    found = _row_components(rows, words, percent, block, long_, same)
+    if same is None:
+        return found
+    ids = found.join(same, F.col("doc_id") == F.col("_rid"), "left").withColumn("doc_id", F.coalesce("_own", "doc_id"))
+    ids = cut_lineage(ids.select("doc_id", "n_shingles", F.col("component_id").alias("_c")))
+    names = ids.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
+    return ids.join(names, "_c", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _row_components(rows: DataFrame, words: int, percent: int, block: int, long_: int, same: DataFrame | None) -> DataFrame:
+    """:func:`similar_components` of rows whose ids have one text each; ``same(_rid, _own)`` ties ids together."""
     common = common_shingles(rows, words)
     sets = cut_lineage(shingle_sets(rows, common, words, percent))
     # Classes of equal sets; a class is named by its smallest id.
@@ -383,7 +404,11 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     classes = named.join(reps, "sig").where("doc_id = node").select("node", "n", "prefix")
     groups = cut_lineage(candidate_groups(classes, percent, long_))
     links = block_links(rows, groups, words, percent, block)
-    joined = components(members.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).union(links))
+    links = members.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).union(links)
+    if same is not None:
+        least = same.groupBy(F.col("_own").alias("o")).agg(F.min("_rid").alias("b"))
+        links = links.union(same.join(least, F.col("_own") == F.col("o")).select(F.col("_rid").alias("a"), "b").where("a <> b"))
+    joined = components(links)
     joined = cut_lineage(joined.select(F.col("node").alias("_node"), "component"))
     found = sets.select("doc_id", F.col("n").alias("n_shingles")).join(joined, F.col("doc_id") == F.col("_node"), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
