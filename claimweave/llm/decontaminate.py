@@ -66,13 +66,18 @@ def template_words(text: Column) -> Column:
     return _template(marked_words(text))
 
 
+def _hashed(words: Column) -> Column:
+    """Each word hashed once; windows are hashed from these numbers."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _windows(words: str, size: int) -> Column:
     starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1))
     return F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(words), i, F.lit(size))))
 
 
 def _both_windows(size: int) -> Column:
-    """Template windows of ``w``, then in the same places the exact windows of ``e``, null where
+    """Template windows of the hashed words ``w``, then in the same places the exact windows of ``e``, null where
     they have no slot and are the same."""
     hashes = F.array(F.struct(_windows("w", size).alias("t"), _windows("e", size).alias("e")))
 
@@ -85,7 +90,7 @@ def _both_windows(size: int) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """``h, item_id, ipos, size, n_windows, k, literal, exact``: all windows of each item; an item
-    of fewer words is one window of its own size, and none if all of them are slots.
+    of fewer words is one window of its own size.
 
     ``literal`` windows have enough words that are no slots (in shorter items, two slots at least
     must be outnumbered by words) and one row for their template. A window with slots has an
@@ -98,9 +103,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int
     part = F.slice("w", F.col("ipos") + 1, F.col("size"))
     plain = F.size(F.filter(part, lambda x: ~x.isin(NUMBER, NAME, UNIT)))
     enough = plain * window >= F.col("size") * literals
-    whole = F.xxhash64(F.slice("e", F.col("ipos") + 1, F.col("size")))
-    rows = rows.where((F.col("size") == window) | (plain > 0))
-    rows = cut_lineage(rows.select("item_id", "ipos", "size", enough.alias("literal"), F.xxhash64(part).alias("t"), whole.alias("e")))
+    whole = F.xxhash64(_hashed(F.slice("e", F.col("ipos") + 1, F.col("size"))))
+    rows = cut_lineage(rows.select("item_id", "ipos", "size", enough.alias("literal"), F.xxhash64(_hashed(part)).alias("t"), whole.alias("e")))
     rows = rows.withColumn("k", F.when(F.col("literal"), F.col("t")).otherwise(F.col("e")))
     counts = rows.groupBy("item_id").agg(F.countDistinct("literal", "k").alias("n_windows"))
     by_template = rows.where("literal").withColumn("h", F.col("t")).withColumn("exact", F.lit(False))
@@ -127,7 +131,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _marked_text(F.col("text")).alias("m"))
     rows = rows.select("doc_id", _split(F.col("m")).alias("m"), F.col("m").rlike(f"[{NUMBER}{NAME}{UNIT}]").alias("slotted"))
     exact = F.when(F.col("slotted"), _exact(F.col("m")))  # without slots, template and words are the same
-    rows = rows.select("doc_id", F.when(F.col("slotted"), _template(F.col("m"))).otherwise(F.col("m")).alias("w"), exact.alias("e"))
+    template = F.when(F.col("slotted"), _template(F.col("m"))).otherwise(F.col("m"))
+    rows = rows.select("doc_id", _hashed(template).alias("w"), _hashed(exact).alias("e"))
     columns = ["doc_id", "item_id", "ipos", "dpos", "size", "n_windows", "k", "literal", "exact"]
     spark = docs.sparkSession
     if not sizes:
@@ -171,6 +176,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that contain no benchmark item, with all their columns; a null id stays."""
-    ids = cut_lineage(contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_contaminated")).distinct())
-    return docs.join(small(ids), F.col("doc_id").cast("long") == F.col("_contaminated"), "left_anti")
+    """The documents that contain no benchmark item, with all their columns. Each row is judged by its own
+    text, so of rows that share an id, or have none, those that contain an item go."""
+    row = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    ids = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("_contaminated"))
+    return docs.join(small(cut_lineage(ids.distinct())), row == F.col("_contaminated"), "left_anti")

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.llm import exact_dedup, repair, spelling
+from claimweave.llm import exact_dedup, ngram_join, repair, spelling, token_files
 
 DOCS = "doc_id long, text string"
 CLASH = ["n", "word", "run", "h", "sha", "block", "bits", "at", "first", "second", "least", "keep_id", "kept", "doc", "doc.b", "pos", "rows", "copy", "seg"]
@@ -271,3 +271,29 @@ def test_damage(spark):
         text = "" if d == 1 else re.sub("[.!?]", "", text) if d == 2 else text
         want += [repr((i, t, "user" if d == 4 else role, text))] * (0 if d == 0 else 2 if d == 3 else 1)
     assert sorted(repr(tuple(r)) for r in repair.damaged(turns).collect()) == sorted(want)
+
+
+# Earlier operators on inputs that they once failed on.
+
+
+def test_ids_with_several_texts_keep_their_links(spark):
+    rnd = random.Random(9)
+    a, b, c = (" ".join(f"{k}{rnd.randrange(10**6)}" for _ in range(60)) for k in "abc")
+    rows = [(1, a), (1, None), (2, a + " x"), (10, a), (10, b), (11, b + " x"), (20, c), (21, None), (None, c), (30, b), (40, "")]
+    found = ngram_join.similar_components(spark.createDataFrame(rows, DOCS)).collect()
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in found}
+    assert len(found) == len(rows)
+    assert {i for (i, _), root in got.items() if root == 1} == {1, 2, 10, 11, 30}
+    assert {root for (i, _), root in got.items() if i in (20, 21, 40)} == {20, 21, 40} and got[None, 56] is None
+    assert got[1, 0] == 1 and got[1, 56] == 1
+
+
+def test_token_ids_of_control_characters_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path()
+    library, mine, rnd = Tokenizer.from_file(path), token_files.WordIds(path), random.Random(8)
+    signs = [chr(c) for c in (*range(0x20), 0x7F, 0x85, 0xA0, 0xAD)] + list(".,.,.,!?-_<|>\"' ") + ["a", "Zb", "é", "ÿ", "1", "22", "\ud7ff", "ß"]
+    for _ in range(30_000):
+        text = "".join(rnd.choice(signs) for _ in range(rnd.randint(1, 7)))
+        assert mine.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)

@@ -412,13 +412,17 @@ def test_contaminated_documents(spark):
     docs = documents(spark, [(i, t, "s") for i, t in rows], clash=True)
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
-    assert set(got) >= {(10, 1), (11, 1), (13, 2), (14, 3), (None, 1)}
-    assert {d for d, _ in got}.isdisjoint({12, 15, 16, 18, 19})
+    assert set(got) >= {(10, 1), (11, 1), (13, 2), (14, 3), (None, 1), (19, 6)}
+    assert {d for d, _ in got}.isdisjoint({12, 15, 16, 18})
     assert got[11, 1].changed and not got[10, 1].changed
     # One value of the item stands for two values here: only windows with its own values count.
     assert (17, 1) not in got or got[17, 1].windows < got[11, 1].windows
     kept = decontaminate.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.where("doc_id is not null").collect())) == sorted({12, 15, 16, 17, 18, 19} - {d for d, _ in got})
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.where("doc_id is not null").collect())) == sorted({12, 15, 16, 17, 18} - {d for d, _ in got})
+    # The row without an id contains an item; another one would stay.
+    assert kept.where("doc_id is null").isEmpty()
+    more = docs.union(documents(spark, [(None, "nothing here", "s"), (10, "nor here", "s")], clash=True))
+    assert sorted(r.text for r in decontaminate.drop_contaminated(more, bench).where("doc_id is null or doc_id = 10").collect()) == ["nor here", "nothing here"]
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
