@@ -59,6 +59,12 @@ def with_copies(docs: DataFrame, targets: DataFrame, seed: str = "mix") -> DataF
     )
 
 
+def emitted(docs: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
+    """The rows of :func:`with_copies`, each as often as its ``copies`` say."""
+    copies = with_copies(docs, targets, seed).where("copies > 0")
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy", "copies")
+
+
 def sizes_of(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size``: words per document, 0 for a null text."""
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
@@ -73,15 +79,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, ceiling: int
     """
     targets = cut_lineage(source_targets(sizes_of(docs).drop("doc_id"), weights, ceiling))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source")
-    copies = with_copies(rows, targets, seed).where("copies > 0")
-    return copies.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
+    return emitted(rows, targets, seed).select("_row.*")
 
 
 def mixed_sizes(docs: DataFrame, weights: Sequence[int] = WEIGHTS, ceiling: int = CEILING, seed: str = "mix") -> DataFrame:
-    """``doc_id, size, source_size, target, taken``: the words that :func:`mix_sources` takes of
-    each document, repeats counted, for every row. The texts are read once."""
-    sized = cut_lineage(sizes_of(docs))
-    targets = cut_lineage(source_targets(sized.drop("doc_id"), weights, ceiling))
-    return with_copies(sized, targets, seed).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
-    )
+    """``doc_id, size, source_size, target, taken``: the words of each row, and those of all its
+    copies that the mix emits, 0 if it emits none. The texts are read once."""
+    sized = cut_lineage(sizes_of(docs).withColumn("_row", F.monotonically_increasing_id()))
+    targets = cut_lineage(source_targets(sized.select("source", "size"), weights, ceiling))
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    every = sized.join(small(targets.withColumnRenamed("source", "_source")), same, "left").drop("_source")
+    keys = ["_row", "doc_id", "size", "source_size", "target"]
+    # Copies of a row come out of one task, so they are added up before the shuffle.
+    words = every.select(*keys, F.lit(0).cast("long").alias("words")).union(emitted(sized, targets, seed).select(*keys, F.col("size").alias("words")))
+    return words.groupBy(*keys).agg(F.sum("words").alias("taken")).drop("_row")
