@@ -75,6 +75,27 @@ def block_top_k(q_ids, q, c_ids, c, k: int, levels: Sequence[int] = LEVELS, step
     return np.broadcast_to(q_ids[:, None], best.shape)[real], ids[real], best[real].astype(np.int64)
 
 
+def wide_top_k(q_ids, q, c_ids, c, k: int):
+    """As :func:`block_top_k`, in 64-bit integers and without bounds, for scores that a double does not hold."""
+    q, c = q.astype(np.int64), c.astype(np.int64)
+    order = np.argsort(c_ids, kind="stable")
+    c_ids, c = c_ids[order], c[order]
+    found = []
+    for q_id, v in zip(q_ids, q):
+        rows = np.flatnonzero(c_ids != q_id)
+        scores = c[rows] @ v
+        top = np.argsort(-scores, kind="stable")[:k]
+        found.append((np.full(len(top), q_id), c_ids[rows[top]], scores[top]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def widest_score(queries: DataFrame, candidates: DataFrame) -> int:
+    """No score, and no part of its sum, is larger than this."""
+    largest = F.coalesce(F.max(F.array_max(F.transform("v", F.abs))), F.lit(0.0))
+    (q,), (c, dim) = queries.agg(largest).first(), candidates.agg(largest, F.coalesce(F.max("dim"), F.lit(0))).first()
+    return int(q) * int(c) * dim
+
+
 def integer_vectors(rows: DataFrame, scale: int = 64) -> DataFrame:
     """``vec_id, v``: floor(scale * component) of each vector. Vectors (and ids) that are null or
     hold null or non-finite components are left out."""
@@ -88,8 +109,9 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_bl
     """``query_id, rank, vec_id, score``: each query's ``k`` candidates of the highest inner
     product, fewer if there are fewer, ties to the smaller ``vec_id``.
 
-    Both inputs are ``vec_id, v`` with whole-numbered components (below 2^26 in total product, so
-    that double sums are exact). Every block of queries meets every block of candidates once,
+    Both inputs are ``vec_id, v`` with whole-numbered components. Scores are exact: where doubles can't
+    hold every sum (2^53), the blocks are multiplied in 64-bit integers; where these can't
+    either, a ValueError says so. Every block of queries meets every block of candidates once,
     with equal dimensions; only ``k`` rows per query and block leave a task. A query's own id
     is no candidate. Of rows with one id each counts as a candidate; a query id that
     repeats is answered once. Empty inputs give an empty result.
@@ -97,6 +119,9 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_bl
     q = queries.dropDuplicates(["vec_id"]).withColumn("dim", F.size("v"))
     c = candidates.withColumn("dim", F.size("v"))
     q, c = cut_lineage(q), cut_lineage(c)
+    widest = widest_score(q, c)
+    if widest >= 2**63:
+        raise ValueError(f"scores may reach {widest}, beyond 64 bits")
     n_q, n_c = -(-q.count() // query_block) or 1, -(-c.count() // candidate_block) or 1
     q = q.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)))
     # Blocks of candidates by a hash of id and vector, so that a repeated id is spread too.
@@ -111,7 +136,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_bl
         found = (np.zeros(0, np.int64),) * 3
         if len(q_ids) and len(c_ids):
             vectors = (np.stack(t.column("v").combine_chunks().to_numpy(zero_copy_only=False)) for t in (left, right))
-            found = block_top_k(q_ids, next(vectors), c_ids, next(vectors), k)
+            best = block_top_k if widest < 2**53 else wide_top_k
+            found = best(q_ids, next(vectors), c_ids, next(vectors), k)
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), found)})
 
     keys = ["qb", "cb", "dim"]
