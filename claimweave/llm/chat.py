@@ -13,6 +13,8 @@ START, STOP = "<|im_start|>", "<|im_end|>"
 #: Words of new turns in a window, and words of earlier turns repeated before them.
 SPAN = 512
 HISTORY = 128
+#: A task packs turns of about so many spans, and no more turns than words, into windows.
+STRETCH = 64
 
 
 def escape(text: Column) -> Column:
@@ -41,10 +43,12 @@ def format_windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY) -
     repeated rows are turns of their own, other columns are not read. A turn is formatted as
     ``<|im_start|>role\\n`` text ``<|im_end|>\\n`` with both parts escaped.
 
-    Prefix sums say how many words stand before a turn; turns with the same whole number of
-    ``span`` in it share a window, so that a window holds new turns of about ``span`` words and no
-    turn is cut (one that is longer than ``span`` fills a window beyond it). Before them stand
-    the last turns that fit into ``history`` words, and a system turn that opens the conversation.
+    Prefix sums say how many words stand before a turn; from the first turn of a window the jump
+    goes to the first that ends more than ``span`` words later, which opens the next. So the new
+    turns of a window have at most ``span`` words and no turn is cut; one that is longer than
+    ``span`` has a window of its own. Every ``STRETCH`` spans a window is opened as well, so that
+    stretches of a conversation are packed apart. ``window`` is the position of its
+    first turn. Before the new turns stand the last turns that fit into ``history`` words, and a system turn that opens the conversation.
     ``repeated`` counts these; they are not targets again. ``targets`` holds first character (from 1)
     and length of the escaped text of each new assistant turn.
     """
@@ -60,18 +64,21 @@ def format_windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY) -
     opens = t.groupBy("conv_id").agg(F.min("begin").alias("b0"), F.min("pos").alias("p0"))
     t = t.join(opens.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
     t = t.withColumns({"begin": F.col("begin") - F.col("b0"), "pos": F.col("pos") - F.col("p0")})
-    t = t.withColumns({"end": F.col("begin") + F.col("words"), "window": F.floor(F.col("begin") / span)})
-    body = F.struct("pos", "role", "text").alias("body")
-    t = cut_lineage(t.select("conv_id", "begin", "end", "window", body))
+    t = t.withColumns({"end": F.col("begin") + F.col("words"), "stretch": F.floor((F.col("begin") + F.col("pos")) / (span * STRETCH))})
+    t = cut_lineage(t.select("conv_id", "stretch", "pos", "begin", "end", F.struct("pos", "role", "text").alias("body")))
+    opens = window_starts(t, span)
+    t = t.join(opens, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s")))
+    window = F.array_max(F.filter("starts", lambda p: p <= F.col("pos")))
+    t = cut_lineage(t.select("conv_id", "begin", "end", window.alias("window"), "body"))
     starts = t.groupBy("conv_id", "window").agg(F.min("begin").alias("first"))
-    starts = starts.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), "first")
+    starts = starts.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), "first", F.floor(F.col("first") / span).alias("at"))
     same = F.col("conv_id").eqNullSafe(F.col("c"))
     new = t.select("conv_id", "window", "body", F.lit(True).alias("new"))
     # History: the window starts at the end of the turn or later, at most `history` words after its
-    # begin; these are at most two window numbers, so the join has equal keys.
+    # begin; these are at most two whole numbers of spans, so the join has equal keys.
     low, high = F.floor(F.col("end") / span), F.floor((F.col("begin") + history) / span)
-    near = t.where(low <= high).withColumn("to", F.explode(F.sequence(low, high))).where("to > window")
-    again = near.join(starts, same & (F.col("to") == F.col("w"))).where(f"end <= first and begin + {history} >= first")
+    near = t.where(low <= high).withColumn("to", F.explode(F.sequence(low, high)))
+    again = near.join(starts, same & (F.col("to") == F.col("at"))).where(f"w > window and end <= first and begin + {history} >= first")
     system = t.where("body.pos = 0 and body.role = 'system'").join(starts, same).where("w > window")
     repeats = again.select("conv_id", "w", "body").union(system.select("conv_id", "w", "body")).distinct()
     rows = new.union(repeats.withColumn("new", F.lit(False))).select("conv_id", "window", "new", "body.*")
@@ -91,6 +98,21 @@ def format_windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY) -
     return shown.select("conv_id", "window", text.alias("text"), "repeated", targets.alias("targets"))
 
 
+def window_starts(turns: DataFrame, span: int) -> DataFrame:
+    """``c, s, starts``: positions of the turns that open a window, of each stretch ``s`` of a conversation ``c``.
+
+    A stretch has at most ``span * STRETCH`` turns, of which this sees three numbers each."""
+    sums = F.array_sort(F.collect_list(F.struct("pos", "begin", "end")))
+    none = F.struct(F.lit(None).cast("long").alias("first"), F.array().cast("array<long>").alias("starts"))
+
+    def jump(at: Column, turn: Column) -> Column:
+        opened = F.struct(turn.begin.alias("first"), F.concat(at.starts, F.array(turn.pos)).alias("starts"))
+        return F.when(at.first.isNull() | (turn.end - at.first > span), opened).otherwise(at)
+
+    packed = turns.groupBy(F.col("conv_id").alias("c"), F.col("stretch").alias("s")).agg(sums.alias("sums"))
+    return packed.select("c", "s", F.aggregate("sums", none, jump, lambda at: at.starts).alias("starts"))
+
+
 def read_windows(formatted: DataFrame) -> DataFrame:
     """Parses formatted windows: ``conv_id, window, turns, targets, chars``, where ``turns`` are the new turns'
     ``role, text`` and ``targets`` the texts under the mask, both unescaped and in order."""

@@ -189,7 +189,10 @@ t AS (SELECT *, len({_WORDS}) AS words, row_number() OVER (PARTITION BY conv_id
     12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\n>')) + 1
     + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11 AS piece FROM c),
 u AS (SELECT *, COALESCE(SUM(words) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM t),
-v AS (SELECT *, b // {chat.SPAN} AS w FROM u),
+k AS (SELECT *, (b + pos) // {chat.SPAN * chat.STRETCH} AS k FROM u),
+o AS (SELECT conv_id, k, list_reduce(list(struct_pack(b := b, e := b + words, p := [pos]) ORDER BY pos), lambda x, y:
+    CASE WHEN y.e - x.b > {chat.SPAN} THEN struct_pack(b := y.b, e := y.e, p := list_concat(x.p, y.p)) ELSE x END).p AS opens FROM k GROUP BY conv_id, k),
+v AS (SELECT k.*, list_max(list_filter(opens, lambda p: p <= pos)) AS w FROM k JOIN o ON k.conv_id IS NOT DISTINCT FROM o.conv_id AND k.k = o.k),
 h AS (SELECT conv_id, w, MIN(b) AS first FROM v GROUP BY conv_id, w),
 rep AS (SELECT v.conv_id, SUM(piece) AS piece FROM v JOIN h ON v.conv_id IS NOT DISTINCT FROM h.conv_id AND h.w > v.w
     WHERE (v.b + v.words <= h.first AND v.b + {chat.HISTORY} >= h.first) OR (pos = 0 AND role = 'system') GROUP BY v.conv_id),

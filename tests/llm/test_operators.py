@@ -485,11 +485,40 @@ def test_chat_round_trip(spark):
         assert got == plain_digests(rows)
         if span == 20:
             check_windows(formatted.collect(), rows)
+        assert {(w.conv_id, w.window) for w in formatted.collect()} == plain_windows(rows, span)
     assert chat.format_windows(turns.limit(0)).count() == 0
     with pytest.raises(ValueError):
         chat.format_windows(turns, 10, 20)
 
 
+def plain_windows(rows, span):
+    """Windows packed turn by turn; each stretch of a conversation starts a new one."""
+    by, out = {}, set()
+    for c, t, r, x in rows:
+        by.setdefault(c, []).append((t is None, t or 0, r or "", x or ""))
+    for c, turns in by.items():
+        begin, first, stretch = 0, None, None
+        for pos, (*_, text) in enumerate(sorted(turns)):
+            n, here = len(re.findall(common.WORD, text)), (begin + pos) // (span * chat.STRETCH)
+            if here != stretch or begin + n - first > span:
+                first, stretch = begin, here
+                out.add((c, pos))
+            begin += n
+    return out
+
+
+def test_no_chat_window_exceeds_its_budget(spark):
+    rnd = random.Random(12)
+    rows = [(c, t, rnd.choice(["user", "assistant"]), some_text(rnd, rnd.choice([0, 1, 7, 20, 45]))) for c in (1, 2, None) for t in range(900 if c == 1 else 40)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_windows(turns, 20, 8).collect()
+    assert {(w.conv_id, w.window) for w in got} == plain_windows(rows, 20)
+    for w in got:
+        new = [p.split("\n", 1)[1].removesuffix("<|im_end|>\n") for p in w.text.split("<|im_start|>")[1 + w.repeated :]]
+        assert sum(len(x.split()) for x in new) <= 20 or len(new) == 1
+    assert any(w.repeated for w in got)
+
+
 def check_windows(windows, rows):
     assert max(w.window for w in windows) > 3 and any(w.repeated for w in windows)
     opening = {c for c, t, r, _ in rows if r == "system" and t == 0}
@@ -526,6 +555,16 @@ def test_top_k_equals_brute_force(spark):
             mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
             assert mine == [(k + 1, j, -n) for k, (n, j) in enumerate(want)]
         assert len(got) == 15 * 15
+    wide = spark.createDataFrame([(int(i), (x * 2.0**22).tolist()) for i, x in enumerate(v[:60])], "vec_id long, embedding array<double>")
+    big = np.floor(v[:60] * 2.0**28).astype(np.int64).astype(object)
+    wide = topk.integer_vectors(wide)
+    found = topk.exact_top_k(wide.where("vec_id % 20 = 0"), wide, 9, 2, 20).collect()
+    for q in range(0, 60, 20):
+        want = sorted((-(big[q] @ big[j]), j) for j in range(60) if j != q)[:9]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == q) == [(k + 1, j, -n) for k, (n, j) in enumerate(want)]
+    with pytest.raises(ValueError):
+        huge = topk.integer_vectors(spark.createDataFrame([(0, [3e17, 1.0]), (1, [3e17, 2.0])], "vec_id long, embedding array<double>"))
+        topk.exact_top_k(huge, huge)
     few = topk.exact_top_k(vectors.where("vec_id = 0"), vectors.where("vec_id < 3"), 20).collect()
     assert [r["rank"] for r in few] == [1, 2]
     assert topk.exact_top_k(vectors.limit(0), vectors).count() == topk.exact_top_k(vectors, vectors.limit(0)).count() == 0
