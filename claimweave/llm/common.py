@@ -70,6 +70,19 @@ def running_starts(df: DataFrame, keys: list[str], values: dict[str, str]) -> Da
     return joined.drop("_slice", *[f"_{x}_{v}" for v in values for x in "bi"])
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system. Spark keeps Python workers for later tasks, and for
+    a minute without any; what they have freed would count against their executor all the time."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, intercept: bool = True):
     """Weights of a logistic regression by Newton's method on a small matrix."""
     design = np.c_[x, np.ones(len(x))] if intercept else x

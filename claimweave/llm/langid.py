@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import small, unit_hash
+from claimweave.llm.common import release_memory, small, unit_hash
 from claimweave.session import cut_lineage
 
 #: N-grams of a profile, and the longest n-gram.
@@ -18,6 +18,8 @@ LONGEST = 3
 #: About so many documents at most are read for the profiles (all, if there are fewer), of each
 #: language an equal part of them at most.
 TRAIN_DOCS = 60_000
+#: A task counts n-grams whenever it holds so many, 8 bytes each, or one text's.
+HELD_GRAMS = 4_000_000
 UNKNOWN = "und"
 
 
@@ -77,15 +79,26 @@ def language_profiles(docs: DataFrame, size: int = PROFILE, train_docs: int = TR
     def count(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            held: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(lang, []).append(gram_codes(text))
+        held: dict[str, list[np.ndarray]] = {}
+        many = 0
+
+        def counted():
             for lang, parts in held.items():
                 grams, counts = np.unique(np.concatenate(parts), return_counts=True)
                 columns = [pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
 
+        for batch in batches:
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+                codes = gram_codes(text.as_py())
+                held.setdefault(lang, []).append(codes)
+                many += len(codes)
+                if many >= HELD_GRAMS:
+                    yield from counted()
+                    held, many = {}, 0
+        yield from counted()
+        release_memory()
+
     grams = known.select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
     totals = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
