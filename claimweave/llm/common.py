@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.session import cut_lineage
@@ -70,6 +71,19 @@ def running_starts(df: DataFrame, keys: list[str], values: dict[str, str]) -> Da
     return joined.drop("_slice", *[f"_{x}_{v}" for v in values for x in "bi"])
 
 
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
+    """Jobs run inside hand whole texts to Python in batches of so many rows. At Spark's 10 000, what a
+    worker and the buffers on both sides hold is tens of megabytes of text a task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system. Spark keeps Python workers for later tasks, and for
     a minute without any; what they have freed would count against their executor all the time."""

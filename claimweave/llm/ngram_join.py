@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import components, small, text_fold
+from claimweave.llm.common import components, release_memory, small, text_fold
 from claimweave.session import cut_lineage
 
 WORDS = 5
@@ -221,6 +221,7 @@ def shingle_sets(docs: DataFrame, common: np.ndarray | None, words: int, percent
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "prefix"])
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, sig binary, prefix array<long>")
 
@@ -238,6 +239,7 @@ def common_shingles(docs: DataFrame, words: int, sample: int = SAMPLE, least: in
         for batch in batches:
             found = [shingler(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) if found else np.zeros(0, np.uint64)).view(np.int64))], names=["h"])
+        release_memory()
 
     part = docs.where(text_fold("doc_id", sample) == 0).select("text")
     counts = part.mapInArrow(spell, "h long").groupBy("h").count().where(F.col("count") >= least)
@@ -310,6 +312,7 @@ def _meet(long_: int):
             s, doc, n = s[last:], doc[last:], n[last:]
         if len(s):
             yield from pairs(s, doc, n)
+        release_memory()
 
     return meet
 
@@ -358,6 +361,8 @@ def _search(words: int, percent: int, paired: bool):
             found = search_block([shingler(held[x][0]) for x in nodes], [held[x][1] for x in nodes], [held[x][2] for x in nodes], percent)
             a += [nodes[i] for i, _ in found]
             b += [nodes[j] for _, j in found]
+        blocks.clear()
+        release_memory()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return search

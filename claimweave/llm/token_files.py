@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimweave.llm.common import release_memory, text_batches
+
 MAGIC = b"RPAIRv1\n"
 #: A shard is closed when it holds this many ids, which bounds a task's memory.
 SHARD_IDS = 1_000_000
@@ -33,8 +35,8 @@ MIN_COUNT = 6
 #: Rounds of replacement and new rules of one round.
 ROUNDS = 5
 RULES_A_ROUND = 4096
-#: Distinct words whose ids a Python worker keeps, about 200 bytes each.
-CACHE_WORDS = 600_000
+#: Distinct words whose ids a Python worker keeps, about 200 bytes each, and as many older ones.
+CACHE_WORDS = 200_000
 SHARD_SCHEMA = "part long, seq long, n_docs long, n_ids long, n_symbols long, payload binary"
 DOC_SCHEMA = "part long, seq long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -46,7 +48,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordIds(dict):
-    """Ids of words as bytes of u32, kept while there is room.
+    """Ids of words as bytes of u32. When the room is full, what is held becomes the older half, and
+    the half before it goes; words of the older half that are met again are kept.
 
     The tokenizer's own steps are: normal form, lower case, cut at white space, which is dropped,
     and between letters, digits and other characters; then each piece is encoded for itself.
@@ -64,6 +67,7 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.older: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         # Byte-level alphabet: the tokenizer's character for each byte.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -81,16 +85,23 @@ class WordIds(dict):
         return text.lower().replace(",", " ,").replace(".", " .").split(" ")
 
     def __missing__(self, w: str) -> bytes:
+        found = self.older.get(w)
+        if found is None:
+            found = self.new_ids(w)
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+        self[w] = found
+        return found
+
+    def new_ids(self, w: str) -> bytes:
         if w.isascii() and w.isalpha() and w.islower():
             ids = [t.id for t in self.model.tokenize(w)]
         elif w.isalpha() and w.islower() and self._latin(w):
             ids = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))]
         else:
             ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-        if len(self) >= self.room:
-            self.clear()
-        self[w] = found = array("I", ids).tobytes()
-        return found
+        return array("I", ids).tobytes()
 
     @staticmethod
     def _latin(w: str) -> bool:
@@ -113,7 +124,9 @@ def word_ids(path: str) -> WordIds:
     return _KNOWN[path]
 
 
-def repair(ids: np.ndarray, doc_starts: np.ndarray, base: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT):
+def repair(
+    ids: np.ndarray, doc_starts: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, min_count: int = MIN_COUNT
+):
     """``symbols, rules, starts``: the ids with frequent pairs replaced, the rules as pairs of
     symbols, and the first symbol of each document (one more than documents).
 
@@ -141,7 +154,7 @@ def repair(ids: np.ndarray, doc_starts: np.ndarray, base: int, rounds: int = ROU
         often = np.flatnonzero(counts >= min_count)
         if not len(often):
             break
-        best = often[np.argsort(-counts[often], kind="stable")][: min(RULES_A_ROUND, limit - top)]
+        best = often[np.argsort(-counts[often], kind="stable")][: min(rules_a_round, limit - top)]
         pairs, weight = ordered[first[best]], np.minimum(counts[best], 2**31 - 1).astype(np.int64)
         # A table by hash finds the pairs; of two with one place the more frequent stays.
         table = np.full(1 << 20, -1, np.int32)
@@ -187,12 +200,12 @@ def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return lengths
 
 
-def pack(doc_ids: list, arrays: list[np.ndarray], base: int) -> tuple[bytes, int]:
+def pack(doc_ids: list, arrays: list[np.ndarray], base: int, **grammar) -> tuple[bytes, int]:
     """A shard and its number of symbols."""
     ids = np.concatenate(arrays) if arrays else np.zeros(0, "<u4")
     before = np.r_[0, np.cumsum([len(a) for a in arrays])].astype("<u8")
     base = max(base, int(ids.max(initial=0)) + 1)
-    symbols, rules, starts = repair(ids, before[:-1].astype(np.int64), base)
+    symbols, rules, starts = repair(ids, before[:-1].astype(np.int64), base, **grammar)
     width = 2 if base + len(rules) <= 65536 else 4
     head = struct.pack("<5IQ", len(doc_ids), len(rules), len(symbols), base, width, len(ids))
     nulls = np.array([d is None for d in doc_ids], "u1")
@@ -260,7 +273,7 @@ class Shard:
             yield doc, int(a), ids[a:b]
 
 
-def _encoder(path: str, end_id: int, shard_ids: int):
+def _encoder(path: str, end_id: int, shard_ids: int, **grammar):
     def encode(batches):
         import pyarrow as pa
 
@@ -272,7 +285,7 @@ def _encoder(path: str, end_id: int, shard_ids: int):
         held = 0
 
         def close():
-            payload, symbols = pack(docs, arrays, base)
+            payload, symbols = pack(docs, arrays, base, **grammar)
             rows = [[part], [seq], [len(docs)], [held], [symbols], [payload]]
             kinds = [pa.int64()] * 5 + [pa.binary()]
             names = ["part", "seq", "n_docs", "n_ids", "n_symbols", "payload"]
@@ -289,25 +302,32 @@ def _encoder(path: str, end_id: int, shard_ids: int):
                     docs, arrays, held, seq = [], [], 0, seq + 1
         if docs:
             yield close()
+        docs, arrays = [], []
+        release_memory()
 
     return encode
 
 
 def write_token_shards(
-    docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS
-) -> None:
+    docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS,
+    rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, min_count: int = MIN_COUNT,
+) -> None:
     """Encode every whole text, append ``end_id``, and write shards in ascending ``doc_id`` order.
 
     Null texts are empty and give the end id alone. Null ids come first; rows with the same id
     follow the hash of their texts, and repeated rows are written once each. An empty
     table writes an empty table of shards. Other columns are not read.
+
+    Each shard's grammar grows for ``rounds`` rounds of at most ``rules_a_round`` pairs that occur
+    ``min_count`` times; more of either gives smaller shards for more time, the ids stay the same.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    encode = _encoder(tokenizer or tokenizer_path(), end_id, shard_ids)
+    encode = _encoder(tokenizer or tokenizer_path(), end_id, shard_ids, rounds=rounds, rules_a_round=rules_a_round, min_count=min_count)
     ordered = rows.repartitionByRange(*key).sortWithinPartitions(*key)
-    ordered.mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)
+    with text_batches(docs.sparkSession):
+        ordered.mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -327,6 +347,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(part, seq, d, a, len(x), zlib.crc32(x.tobytes())) for d, a, x in Shard(payload.as_py()).documents()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())]
                 yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
+        release_memory()
 
     found = shards.select("part", "seq", "payload").mapInArrow(decode, DOC_SCHEMA)
     counts = shards.select("part", "seq", "n_ids")
