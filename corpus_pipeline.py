@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimweave.llm import decontaminate, mixing, ngram_join, token_files, toxicity
+from claimweave.llm.common import text_batches
 from claimweave.llm.queries import own_folder, table, training_labels
 from claimweave.session import cut_lineage
 
@@ -50,6 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+    with text_batches(spark):
+        for _, stage in STAGES[:-1]:
+            docs = cut_lineage(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
