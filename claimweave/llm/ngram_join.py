@@ -10,12 +10,14 @@ has n shingles, so they share at least T = ceil(0.8 n). The join is exact:
    classes of a long list are all put into one candidate group.
 3. Within a candidate group, cut into blocks, a T-occurrence search (DivideSkip) over the whole
    sets finds the links: short lists are merged with a heap, long ones are probed by binary
-   search. What is in one component already is not compared again.
+   search. Every pair of blocks whose sizes allow a link meets once, so all links are found and
+   counted. Where components alone are asked for, what is in one already is not compared again.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -40,6 +42,8 @@ CELLS = 1 << 22
 LONG = 64
 #: Classes of a block, and of them those that go to every block of a large group.
 BLOCK, PIVOTS = 512, 16
+#: Shingles of a block where all links are counted; a longer set has a block of its own.
+BLOCK_SHINGLES = 1 << 19
 
 _R = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -161,6 +165,37 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Shingles of more than one set; the others join nothing."""
+    values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+    return values[counts > 1]
+
+
+def _keys(shingles: np.ndarray, shared: np.ndarray) -> list[int]:
+    """Places of a set's shingles among the shared ones."""
+    at = np.searchsorted(shared, shingles)
+    at = at[at < len(shared)] if len(at) and at[-1] >= len(shared) else at
+    return at[shared[at] == shingles[: len(at)]].tolist()
+
+
+def linked_sets(sets: list[np.ndarray], side: list[int] | None = None, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """All links between sets, as pairs of places; with ``side`` (0 or 1 for each set) only those
+    between the sides. Every set is searched among the smaller ones."""
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
+    shared = _shared(sets)
+    index: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
+    for place, i in enumerate(order):
+        n, threshold, keys = len(sets[i]), needed(len(sets[i]), percent), _keys(sets[i], shared)
+        own, other = (0, 0) if side is None else (side[i], 1 - side[i])
+        if n and len(keys) >= threshold:
+            for found, count in divide_skip([index[other].get(k, []) for k in keys], threshold):
+                j = order[found]
+                if links_enough(count, n, len(sets[j]), percent):
+                    yield i, j
+        for k in keys:
+            index[own].setdefault(k, []).append(place)
+
+
 def search_block(sets: list[np.ndarray], query: list[bool], component: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links between sets of a block, as pairs of places that join components.
 
@@ -173,14 +208,11 @@ def search_block(sets: list[np.ndarray], query: list[bool], component: list[int]
     parent = [names.setdefault(c, i) for i, c in enumerate(component)]
     lists: dict[int, list[int]] = {}  # of all sets so far, as places in the order
     queried: dict[int, list[int]] = {}  # of the queries so far
-    values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-    shared = values[counts > 1]  # a shingle of one set joins nothing
+    shared = _shared(sets)
     out = []
     for place, i in enumerate(order):
         n, threshold = len(sets[i]), needed(len(sets[i]), percent)
-        at = np.searchsorted(shared, sets[i])
-        at = at[at < len(shared)] if len(at) and at[-1] >= len(shared) else at
-        keys = at[shared[at] == sets[i][: len(at)]].tolist()
+        keys = _keys(sets[i], shared)
 
         def apart(other: int, i=i) -> bool:
             return _root(parent, i) != _root(parent, order[other])
@@ -368,14 +400,51 @@ def _search(words: int, percent: int, paired: bool):
     return search
 
 
-def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, long_: int = LONG) -> DataFrame:
+def _count(words: int, percent: int):
+    """Texts of one or more pairs of blocks to ``a, b, links``: with ``a = b`` the documents that
+    class a links with in its pair of blocks, else a link that joins two classes."""
+
+    def search(table):
+        import pyarrow as pa
+
+        shingler = Shingler(words)
+        cells: dict[tuple, dict] = {}
+        names = ("grp", "band", "block", "band2", "block2", "node", "side", "weight", "text")
+        for *key, node, side, weight, text in zip(*(table.column(n).to_pylist() for n in names)):
+            cells.setdefault(tuple(key), {})[node] = (side, weight, text)  # rows of one node have one text
+        out = []
+        for (_, *first, band, block), held in cells.items():
+            nodes, (side, weight, texts) = list(held), zip(*held.values())
+            links, parent = [0] * len(nodes), list(range(len(nodes)))
+            for i, j in linked_sets([shingler(t) for t in texts], None if first == [band, block] else side, percent):
+                links[i] += weight[j]
+                links[j] += weight[i]
+                a, b = _root(parent, i), _root(parent, j)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((nodes[i], nodes[j], 0))
+            out += [(x, x, n) for x, n in zip(nodes, links) if n]
+        cells.clear()
+        release_memory()
+        columns = zip(*out) if out else ([], [], [])
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("a", "b", "links"), columns)})
+
+    return search
+
+
+def similar_components(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, long_: int = LONG, links: bool = False
+) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row, by its whole text.
 
+    With ``links`` also ``n_links``, the number of other documents that it links with, copies
+    included. All links are searched for it; otherwise only those that join components.
+
     Words are runs of characters that are not ASCII white space, A-Z in lower case. A text of
     fewer words than a shingle is one shingle; null texts and texts without words have none and
     link with nothing. ``component_id`` is the smallest doc_id reachable by links. Repeated rows
     give repeated results; rows with one id but several texts have their own sizes and links, and are
-    one component together; a null id has a null component
+    one component together, each text counted as a document in ``n_links``; a null id has a null component
     and links with nothing. Extra columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -389,16 +458,16 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         node = F.when(F.col("_own").isNotNull(), -1 - F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))).otherwise(F.col("doc_id"))
         rows = own.select(node.alias("doc_id"), "text")
         same = cut_lineage(own.where("_own is not null").select(node.alias("_rid"), "_own").distinct())
-    found = _row_components(rows, words, percent, block, long_, same)
+    found = _row_components(rows, words, percent, block, long_, same, links)
     if same is None:
         return found
     ids = found.join(same, F.col("doc_id") == F.col("_rid"), "left").withColumn("doc_id", F.coalesce("_own", "doc_id"))
-    ids = cut_lineage(ids.select("doc_id", "n_shingles", F.col("component_id").alias("_c")))
+    ids = cut_lineage(ids.withColumnRenamed("component_id", "_c").select(*["_c" if c == "component_id" else c for c in found.columns]))
     names = ids.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
-    return ids.join(names, "_c", "left").select("doc_id", "n_shingles", "component_id")
+    return ids.join(names, "_c", "left").select(*found.columns)
 
 
-def _row_components(rows: DataFrame, words: int, percent: int, block: int, long_: int, same: DataFrame | None) -> DataFrame:
+def _row_components(rows: DataFrame, words: int, percent: int, block: int, long_: int, same: DataFrame | None, count: bool) -> DataFrame:
     """:func:`similar_components` of rows whose ids have one text each; ``same(_rid, _own)`` ties ids together."""
     common = common_shingles(rows, words)
     sets = cut_lineage(shingle_sets(rows, common, words, percent))
@@ -408,7 +477,17 @@ def _row_components(rows: DataFrame, words: int, percent: int, block: int, long_
     members = cut_lineage(named.select("doc_id", "sig").join(reps, "sig").select("doc_id", "node").where("doc_id <> node").distinct())
     classes = named.join(reps, "sig").where("doc_id = node").select("node", "n", "prefix")
     groups = cut_lineage(candidate_groups(classes, percent, long_))
-    links = block_links(rows, groups, words, percent, block)
+    counted = None
+    if count:
+        others = cut_lineage(members.groupBy("node").agg(F.count(F.lit(1)).alias("others")))
+        found = all_links(rows, groups, others, words, percent, block)
+        links = found.where("a <> b").select("a", "b")
+        both = found.where("a = b").select(F.col("a").alias("node"), "links").union(others)
+        classes = cut_lineage(both.groupBy("node").agg(F.sum("links").alias("n_links")))
+        each = members.join(small(classes), "node").select("doc_id", "n_links")
+        counted = cut_lineage(classes.select(F.col("node").alias("doc_id"), "n_links").union(each).toDF("_of", "n_links"))
+    else:
+        links = block_links(rows, groups, words, percent, block)
     links = members.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).union(links)
     if same is not None:
         least = same.groupBy(F.col("_own").alias("o")).agg(F.min("_rid").alias("b"))
@@ -416,7 +495,49 @@ def _row_components(rows: DataFrame, words: int, percent: int, block: int, long_
     joined = components(links)
     joined = cut_lineage(joined.select(F.col("node").alias("_node"), "component"))
     found = sets.select("doc_id", F.col("n").alias("n_shingles")).join(joined, F.col("doc_id") == F.col("_node"), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    columns = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")]
+    if counted is not None:
+        found = found.join(counted, F.col("doc_id") == F.col("_of"), "left")
+        has = F.col("n_shingles") > 0  # a repeated id may have a row without words
+        columns.append(F.when(has, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return found.select(*columns)
+
+
+def all_links(rows: DataFrame, groups: DataFrame, others: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """``a, b, links`` as of :func:`_count`, over all pairs of classes of a group.
+
+    ``others``: ``node, others``, the documents of a class besides the one it is named by. A group of more than
+    one block is cut into bands of set sizes, so that links reach from a band into the next one at most, and each
+    band into blocks by a hash. A pair of blocks is one unit of work, whatever the size of its group.
+    """
+    classes = groups.join(others, "node", "left").select("node", F.col("component").alias("grp"), "n", (F.coalesce("others", F.lit(0)) + 1).alias("weight"))
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    whole = cut_lineage(classes.groupBy("grp").agg(n_blocks.alias("whole")))
+    # A little wider than the largest ratio of linked sizes, for rounding.
+    band = F.when(F.col("whole") > 1, F.floor(F.log("n") / math.log(101 / percent))).otherwise(0)
+    banded = cut_lineage(classes.join(small(whole), "grp").withColumn("band", band).drop("whole"))
+    cells = cut_lineage(banded.groupBy("grp", "band").agg(n_blocks.alias("blocks")))
+    above = cells.select("grp", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = cells.select("grp", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    around = cut_lineage(cells.join(above, ["grp", "band"], "left").join(below, ["grp", "band"], "left").na.fill(0, ["above", "below"]))
+    own = banded.join(small(around), ["grp", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    def meets(count: str, there, names: tuple[str, ...]):
+        each = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col(count), F.lit(1))), lambda i: F.struct(*[x.cast("long").alias(y) for x, y in zip(there(i - 1), names)]))
+        return F.when(F.col(count) > 0, each).otherwise(F.slice(each, 1, 0))
+
+    here, mine, names = F.col("band"), F.col("own"), ("band", "block", "band2", "block2", "side")
+    pairs = F.concat(
+        meets("blocks", lambda j: (here, F.least(mine, j), here, F.greatest(mine, j), mine > j), names),
+        meets("above", lambda j: (here, mine, here + 1, j, F.lit(0)), names),
+        meets("below", lambda j: (here - 1, j, here, mine, F.lit(1)), names),
+    )
+    placed = cut_lineage(own.select("node", "grp", "n", "weight", F.explode(pairs).alias("p")).select("node", "grp", "n", "weight", "p.*"))
+    total = placed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    tasks = max(1, -(-total["rows"] // (2 * block)), -(-total["n"] // BLOCK_SHINGLES))
+    placed = placed.withColumn("task", F.pmod(F.xxhash64("grp", "band", "block", "band2", "block2"), F.lit(tasks)))
+    texts = rows.join(small(placed), F.col("doc_id") == F.col("node")).select("task", "grp", "weight", "node", *names, "text")
+    return cut_lineage(texts.groupBy("task").applyInArrow(_count(words, percent), "a long, b long, links long"))
 
 
 def block_links(rows: DataFrame, groups: DataFrame, words: int, percent: int, block: int) -> DataFrame:

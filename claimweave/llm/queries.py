@@ -59,7 +59,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), links=True)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,9 +178,11 @@ n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 r AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-m AS (SELECT a, MIN(b) AS component_id FROM r GROUP BY a)
-SELECT w.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, COALESCE(m.component_id, w.doc_id)::BIGINT AS component_id
-FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id
+m AS (SELECT a, MIN(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT a, COUNT(*) AS n_links FROM e GROUP BY a)
+SELECT w.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, COALESCE(m.component_id, w.doc_id)::BIGINT AS component_id,
+    COALESCE(k.n_links, 0)::BIGINT AS n_links
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id LEFT JOIN k ON k.a = w.doc_id
 """,
     "op8_chat": rf"""
 WITH c AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations

@@ -341,6 +341,14 @@ def plain_components(rows):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
+def plain_links(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(common.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    return {x: sum(100 * len(s & o) >= 80 * len(s | o) for y, o in sets.items() if y != x and s and o) for x, s in sets.items()}
+
+
 def near_copies(seed, n):
     rnd = random.Random(seed)
     base = [[rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(rnd.choice([3, 6, 20, 60, 200]))] for _ in range(10)]
@@ -366,6 +374,36 @@ def test_join_equals_all_pairs(spark, how):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+@pytest.mark.parametrize("how", [{}, {"block": 8, "long_": 6}, {"block": 3, "long_": 1, "percent": 80}])
+def test_join_counts_all_links(spark, how):
+    rows = near_copies(13, 250)
+    docs = spark.createDataFrame(rows + rows[:5] + [(None, rows[0][1])], "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH})
+    got = ngram_join.similar_components(docs, links=True, **how).collect()
+    want, links = plain_components(rows), plain_links(rows)
+    assert len(got) == len(rows) + 6 and max(links.values()) > 9
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got if r.doc_id is not None} == {i: (*want[i], links[i]) for i in want}
+    assert [(r.component_id, r.n_links) for r in got if r.doc_id is None] == [(None, 0)]
+    assert ngram_join.similar_components(docs.limit(0), links=True).count() == 0
+
+
+def test_join_counts_links_of_every_text_of_an_id(spark):
+    a, b = "one two three four five six seven eight nine ten " * 3, "red green blue white black grey brown pink gold cyan " * 3
+    rows = [(1, a + "p"), (1, b + "q"), (1, None), (2, a + "r"), (3, b + "s"), (3, b + "s"), (4, "alone")]
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), links=True, percent=60).collect()
+    want = [(1, 0), (1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (4, 0)]
+    assert sorted((r.doc_id, r.n_links) for r in got) == want
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_linked_sets_between_sides():
+    rnd = random.Random(4)
+    sets = [np.unique(np.array([rnd.randrange(14) for _ in range(rnd.randrange(0, 25))], np.uint64)) for _ in range(60)]
+    side = [rnd.randrange(2) for _ in sets]
+    both = {(i, j) for i in range(60) for j in range(i) if len(sets[i]) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert both and {(max(p), min(p)) for p in ngram_join.linked_sets(sets)} == both
+    assert {(max(p), min(p)) for p in ngram_join.linked_sets(sets, side)} == {(i, j) for i, j in both if side[i] != side[j]}
+
+
 def test_join_keeps_one_of_a_group(spark):
     rows = near_copies(12, 120)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH})
