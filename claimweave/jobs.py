@@ -392,7 +392,7 @@ def add_label_nodes(t: Tables, sizes: dict[str, float] = SIZES, priority: str =
         t.get("article_similar_claim", _ARTICLE_LINK).select("claim_id", "score")
     )
     seeds = labels.label_seeds(direct, t.read("has_reviewed"), sizes)
-    labs, has_label = labels.propagate_labels(all_links(t), seeds, sizes, priority)
+    labs, has_label = labels.propagate_labels(cut_lineage(all_links(t)), seeds, sizes, priority)
     t.replace("label", labs)
     t.replace("has_label", has_label)
 

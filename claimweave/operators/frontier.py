@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.claims import LINK_THRESHOLD
 from claimweave.operators.keyed import batch_ids, insert_absent, undirected
+from claimweave.operators.linking import Via, posts_of
 from claimweave.session import cut_lineage
 
 
-def posts_above(links: DataFrame, threshold: float = LINK_THRESHOLD) -> DataFrame:
-    return links.filter(F.col("score") > threshold).select("post_id").distinct()
+def posts_above(links: DataFrame, threshold: float = LINK_THRESHOLD, via: Via | None = None) -> DataFrame:
+    """``(post_id)`` with a link above the threshold, in ``links`` or through an article of ``via``."""
+    strong = None if via is None else Via(via.post_article, via.article_links.filter(F.col("score") > threshold))
+    return posts_of(links.filter(F.col("score") > threshold), strong).select("post_id")
 
 
 def follow_frontier(linked: DataFrame, posted: DataFrame, follows: DataFrame) -> DataFrame:
