@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 OBJECTS = "array<map<string,string>>"
 STRINGS = "array<string>"
+_JSON_NAMES = {"None": "null", "True": "true", "False": "false"}
 
 
 def as_json(c: Column) -> Column:
     """Printed list -> JSON text: backslashes doubled, single quotes made double, and
     None / True / False outside of words turned into their JSON names."""
     quoted = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit('"'))
-    named = quoted
-    for name, json_name in (("None", "null"), ("True", "true"), ("False", "false")):
-        named = F.regexp_replace(named, rf"([:,\[] ?){name}(?=\s*[,\]}}])", f"$1{json_name}")
-    # Most cells hold none of the three and skip their patterns.
-    return F.when(c.rlike("None|True|False"), named).otherwise(quoted)
+
+    def named(*names: str) -> Column:
+        out = quoted
+        for name in names:
+            out = F.regexp_replace(out, rf"([:,\[] ?){name}(?=\s*[,\]}}])", f"$1{_JSON_NAMES[name]}")
+        return out
+
+    # Most cells hold none of the three, others None alone, and skip the patterns of the rest.
+    none, truth = F.contains(c, F.lit("None")), F.contains(c, F.lit("True")) | F.contains(c, F.lit("False"))
+    return F.when(truth, named(*_JSON_NAMES)).when(none, named("None")).otherwise(quoted)
 
 
 def _parse(c: Column, schema: str) -> Column:
