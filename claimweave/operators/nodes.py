@@ -7,7 +7,7 @@ the first one in ``(precedence, query, row_no)`` wins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,18 +169,39 @@ def conversation_nodes(tweets: DataFrame) -> DataFrame:
     return tweets.select(_int("conversation_id").alias("conversation_id")).dropna().distinct()
 
 
+#: Node tables of the archive, and how each comes out of the landed tables.
+ARCHIVE_NODES = {
+    "post": lambda dfs: post_nodes(dfs["tweets"], dfs["replies"]),
+    "user": lambda dfs: user_nodes(dfs["authors"]),
+    "hashtag": lambda dfs: hashtag_nodes(dfs["tweets"], dfs["authors"]),
+    "url": lambda dfs: url_nodes(dfs["tweets"], dfs["authors"], dfs["media"]),
+    "media": lambda dfs: media_nodes(dfs["media"]),
+    "place": lambda dfs: place_nodes(dfs["places"]),
+    "poll": lambda dfs: poll_nodes(dfs["polls"]),
+    "conversation": lambda dfs: conversation_nodes(dfs["tweets"]),
+}
+
+#: The columns of the node tables that edges look at.
+END_COLUMNS = {
+    "post": ["post_id"],
+    "user": ["user_id", "user_name"],
+    "hashtag": ["name"],
+    "url": ["name"],
+    "media": ["media_id"],
+    "place": ["place_id"],
+    "poll": ["poll_id"],
+    "conversation": ["conversation_id"],
+}
+
+
 def archive_nodes(dfs: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All node tables of the archive."""
-    return {
-        "post": post_nodes(dfs["tweets"], dfs["replies"]),
-        "user": user_nodes(dfs["authors"]),
-        "hashtag": hashtag_nodes(dfs["tweets"], dfs["authors"]),
-        "url": url_nodes(dfs["tweets"], dfs["authors"], dfs["media"]),
-        "media": media_nodes(dfs["media"]),
-        "place": place_nodes(dfs["places"]),
-        "poll": poll_nodes(dfs["polls"]),
-        "conversation": conversation_nodes(dfs["tweets"]),
-    }
+    return {name: make(dfs) for name, make in ARCHIVE_NODES.items()}
+
+
+def archive_ends(dfs: dict[str, DataFrame], name: str) -> DataFrame:
+    """The columns of one node table that edges look at. Where these are keys alone, no row is chosen per key."""
+    return ARCHIVE_NODES[name](dfs).select(*END_COLUMNS[name])
 
 
 def _mentions(df: DataFrame, column: str) -> DataFrame:
@@ -194,40 +215,47 @@ def mention_edges(rows: DataFrame, src_nodes: DataFrame, users: DataFrame) -> Da
     return build_edge(named, src_nodes, None)
 
 
-def archive_edges(dfs: dict[str, DataFrame], nodes: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All edge tables ``(src, tgt)`` of the archive; ends that do not exist are dropped."""
-    tweets, authors = dfs["tweets"], dfs["authors"]
-    post, user = nodes["post"].select("post_id"), nodes["user"].select("user_id")
-    hashtag, url = nodes["hashtag"], nodes["url"]
-    key = _int("id").alias("src")
+def _cells(tweets: DataFrame, column: str, fn) -> DataFrame:
+    return tweets.select(_int("id").alias("src"), F.explode(fn(_c(column))).alias("tgt"))
 
-    def cells(column: str, fn) -> DataFrame:
-        return tweets.select(key, F.explode(fn(_c(column))).alias("tgt"))
 
-    return {
-        "user_posted_post": build_edge(
-            tweets.select(_int("author_id").alias("src"), _int("id").alias("tgt")), user, post
-        ),
-        "post_has_hashtag": build_edge(_tags(tweets, "id", "entities.hashtags"), post, hashtag),
-        "user_has_hashtag": build_edge(_tags(authors, "id", "entities.description.hashtags"), user, hashtag),
-        "post_mentions_user": mention_edges(_mentions(tweets, "entities.mentions"), post, nodes["user"]),
-        "user_mentions_user": mention_edges(_mentions(authors, "entities.description.mentions"), user, nodes["user"]),
-        "post_links_to_url": build_edge(post_urls(tweets), post, url),
-        "user_links_to_url": build_edge(user_urls(authors), user, url),
-        "user_has_profile_picture_url": build_edge(profile_pictures(authors), user, url),
-        "post_has_media": build_edge(
-            cells("attachments.media_keys", lists.strings), post, nodes["media"].select("media_id")
-        ),
-        "url_is_media": build_edge(media_urls(dfs["media"]), url, nodes["media"].select("media_id")),
-        "post_has_poll": build_edge(cells("attachments.poll_ids", lists.strings), post, nodes["poll"].select("poll_id")),
-        "post_is_part_of_conversation": build_edge(
-            tweets.select(key, _int("conversation_id").alias("tgt")), post, nodes["conversation"]
-        ),
-        "post_located_in_place": build_edge(
-            tweets.select(key, _c("geo.place_id").alias("tgt")), post, nodes["place"].select("place_id")
-        ),
-        "post_references_post": build_edge(cells("referenced_tweets", lists.reference_ids), post, post),
-    }
+def _key(nodes: Mapping[str, DataFrame], name: str) -> DataFrame:
+    return nodes[name].select(END_COLUMNS[name][0])
+
+
+#: Edge tables of the archive: landed rows, node tables of both ends.
+_ARCHIVE_EDGES = {
+    "user_posted_post": (lambda d: d["tweets"].select(_int("author_id").alias("src"), _int("id").alias("tgt")), "user", "post"),
+    "post_has_hashtag": (lambda d: _tags(d["tweets"], "id", "entities.hashtags"), "post", "hashtag"),
+    "user_has_hashtag": (lambda d: _tags(d["authors"], "id", "entities.description.hashtags"), "user", "hashtag"),
+    "post_mentions_user": (lambda d: _mentions(d["tweets"], "entities.mentions"), "post", None),
+    "user_mentions_user": (lambda d: _mentions(d["authors"], "entities.description.mentions"), "user", None),
+    "post_links_to_url": (lambda d: post_urls(d["tweets"]), "post", "url"),
+    "user_links_to_url": (lambda d: user_urls(d["authors"]), "user", "url"),
+    "user_has_profile_picture_url": (lambda d: profile_pictures(d["authors"]), "user", "url"),
+    "post_has_media": (lambda d: _cells(d["tweets"], "attachments.media_keys", lists.strings), "post", "media"),
+    "url_is_media": (lambda d: media_urls(d["media"]), "url", "media"),
+    "post_has_poll": (lambda d: _cells(d["tweets"], "attachments.poll_ids", lists.strings), "post", "poll"),
+    "post_is_part_of_conversation": (
+        lambda d: d["tweets"].select(_int("id").alias("src"), _int("conversation_id").alias("tgt")), "post", "conversation"
+    ),
+    "post_located_in_place": (lambda d: d["tweets"].select(_int("id").alias("src"), _c("geo.place_id").alias("tgt")), "post", "place"),
+    "post_references_post": (lambda d: _cells(d["tweets"], "referenced_tweets", lists.reference_ids), "post", "post"),
+}
+
+
+def archive_edge(dfs: dict[str, DataFrame], nodes: Mapping[str, DataFrame], name: str) -> DataFrame:
+    """One edge table ``(src, tgt)`` of the archive; ends that do not exist are dropped. Only the node tables of
+    its two ends are asked for, so ``nodes`` may make them when they are."""
+    landed, src, tgt = _ARCHIVE_EDGES[name]
+    if tgt is None:
+        return mention_edges(landed(dfs), _key(nodes, src), nodes["user"])
+    return build_edge(landed(dfs), _key(nodes, src), _key(nodes, tgt))
+
+
+def archive_edges(dfs: dict[str, DataFrame], nodes: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """All edge tables ``(src, tgt)`` of the archive."""
+    return {name: archive_edge(dfs, nodes, name) for name in _ARCHIVE_EDGES}
 
 
 def claim_tables(rows: DataFrame) -> dict[str, DataFrame]:

@@ -136,7 +136,7 @@ _EDGES = {
 
 
 def _edge(name: str, table: str, sql: str) -> None:
-    query(name, sql, ("raw_posts", "raw_authors", "node_user", "node_post"))(lambda v: v.edges[table])
+    query(name, sql, ("raw_posts", "raw_authors", "node_user", "node_post"))(lambda v: v.edge(table))
 
 
 for _name, (_table, _sql) in _EDGES.items():

@@ -9,6 +9,7 @@ and ``events``, the landed archive from ``lineitem``, ``orders``, ``customer``,
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from claimweave.operators import ego
 from claimweave.operators import labels as lab
 from claimweave.operators import linking
 from claimweave.operators.filters import referenced
-from claimweave.operators.nodes import archive_edges, archive_nodes
+from claimweave.operators.nodes import archive_edge, archive_ends
 from claimweave.session import cut_lineage, widen
 
 # The test vectors are almost orthogonal, so the three sizes get lower thresholds here.
@@ -360,13 +361,12 @@ class Views:
         return referenced(self.archive)
 
     @cached_property
-    def nodes(self) -> dict[str, DataFrame]:
-        """Written once, as a load does before it builds the edges."""
-        return {name: cut_lineage(df) for name, df in archive_nodes(self.archive).items()}
+    def ends(self) -> Mapping[str, DataFrame]:
+        """What edges look at in the node tables, each written once, when the first edge asks for it."""
+        return _Ends(self.archive)
 
-    @property
-    def edges(self) -> dict[str, DataFrame]:
-        return archive_edges(self.archive, self.nodes)
+    def edge(self, name: str) -> DataFrame:
+        return archive_edge(self.archive, self.ends, name)
 
     # Reviewed texts and dated documents.
 
@@ -406,6 +406,15 @@ class Views:
         )
 
 
+class _Ends(dict):
+    def __init__(self, archive: dict[str, DataFrame]):
+        self.archive = archive
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = cut_lineage(archive_ends(self.archive, name))
+        return self[name]
+
+
 _OPEN: dict[tuple[str, str], Views] = {}
 
 
