@@ -38,20 +38,24 @@ def _score_block(threshold: float, strip: int = 256):
             return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
     def run(claims: pa.Table, items: pa.Table) -> pa.Table:
-        hits = [(np.array([], "int64"), np.array([], "int64"), np.array([], "float64"))]
+        rows, cols, found = [np.array([], "int32")], [np.array([], "int32")], [np.array([], "float64")]
+        claim_ids, item_ids = claims["claim_id"].to_numpy(), items["item_id"].to_numpy()
         if claims.num_rows and items.num_rows:
             c, p = unit(claims["vec"]), unit(items["vec"])
             lo, hi = claims["lo"].to_numpy(), claims["hi"].to_numpy()
             at = items["at"].to_numpy()
-            claim_ids, item_ids = claims["claim_id"].to_numpy(), items["item_id"].to_numpy()
             for start in range(0, len(p), strip):
                 end = start + strip
                 scores = p[start:end] @ c.T
                 when = at[start:end, None]
                 i, j = np.nonzero((scores > threshold) & (when >= lo) & (when <= hi))
-                hits.append((item_ids[start:end][i], claim_ids[j], scores[i, j]))
-        item_id, claim_id, score = (np.concatenate(x) for x in zip(*hits))
-        return pa.table({"item_id": item_id, "claim_id": claim_id, "score": score})
+                rows.append((i + start).astype("int32"))
+                cols.append(j.astype("int32"))
+                found.append(scores[i, j])
+        # Places of 32 bits until the end, and one column after the other, so that a full block stays small.
+        item_id, rows = item_ids[np.concatenate(rows)], None
+        claim_id, cols = claim_ids[np.concatenate(cols)], None
+        return pa.table({"item_id": item_id, "claim_id": claim_id, "score": np.concatenate(found)})
 
     return run
 
@@ -62,7 +66,7 @@ def link_by_cosine(
     threshold: float = LINK_THRESHOLD,
     window_days: int = 3,
     existing: DataFrame | None = None,
-    block_rows: int = 16384,
+    block_rows: int = 4096,
     existing_via: Via | None = None,
 ) -> DataFrame:
     """``(item_id, claim_id, score)`` of all pairs whose cosine is above ``threshold`` and
@@ -78,7 +82,8 @@ def link_by_cosine(
     never turned into rows. All pairs in the window are examined.
 
     A row is copied once per block of the other side, so larger blocks shuffle less; a task
-    holds two blocks of vectors and one strip of scores in memory.
+    holds two blocks of vectors, one strip of scores and the links found in memory. Links may be a tenth of the
+    square of a block or more, so a block has some thousand rows.
     """
     c = claims.filter(F.col("embedding").isNotNull() & F.col("date").isNotNull()).select(
         F.col("claim_id").cast("bigint"),
