@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,36 +27,48 @@ class Via(NamedTuple):
     article_links: DataFrame
 
 
-def _score_block(threshold: float, strip: int = 256):
-    """Score one block of claims against one block of items, a strip at a time, and give
-    only the pairs above the threshold. Self-contained, so that workers need numpy and
-    pyarrow but not this package."""
+def _score_blocks(threshold: float, strip: int = 256):
+    """Score blocks of claims against blocks of items. Rows come block by block, the claims of a block first; its claims are
+    held, its items go by a strip at a time, and the pairs above the threshold go out strip by strip.
+    Self-contained, so that workers need numpy and pyarrow but not this package."""
 
-    def unit(column: pa.ChunkedArray) -> np.ndarray:
-        flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False)
-        m = flat.astype(np.float64).reshape(len(column), -1)
+    def unit(column: pa.Array) -> np.ndarray:
+        m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
         with np.errstate(invalid="ignore", divide="ignore"):
             return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
-    def run(claims: pa.Table, items: pa.Table) -> pa.Table:
-        rows, cols, found = [np.array([], "int32")], [np.array([], "int32")], [np.array([], "float64")]
-        claim_ids, item_ids = claims["claim_id"].to_numpy(), items["item_id"].to_numpy()
-        if claims.num_rows and items.num_rows:
-            c, p = unit(claims["vec"]), unit(items["vec"])
-            lo, hi = claims["lo"].to_numpy(), claims["hi"].to_numpy()
-            at = items["at"].to_numpy()
-            for start in range(0, len(p), strip):
-                end = start + strip
-                scores = p[start:end] @ c.T
-                when = at[start:end, None]
-                i, j = np.nonzero((scores > threshold) & (when >= lo) & (when <= hi))
-                rows.append((i + start).astype("int32"))
-                cols.append(j.astype("int32"))
-                found.append(scores[i, j])
-        # Places of 32 bits until the end, and one column after the other, so that a full block stays small.
-        item_id, rows = item_ids[np.concatenate(rows)], None
-        claim_id, cols = claim_ids[np.concatenate(cols)], None
-        return pa.table({"item_id": item_id, "claim_id": claim_id, "score": np.concatenate(found)})
+    def numbers(rows: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+        return [rows.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+    def score(claims: list, items: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        claim_ids, lo, hi, c = claims
+        for start in range(0, items.num_rows, strip):
+            some = items.slice(start, strip)
+            item_ids, at = numbers(some, "id", "lo")
+            scores = unit(some.column("vec")) @ c.T
+            when = at[:, None]
+            i, j = np.nonzero((scores > threshold) & (when >= lo) & (when <= hi))
+            if len(i):
+                yield pa.RecordBatch.from_pydict({"item_id": item_ids[i], "claim_id": claim_ids[j], "score": scores[i, j]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, claims = None, []
+        for batch in batches:
+            keys = np.stack(numbers(batch, "day", "cb", "pb", "kind"), axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                *here, kind = keys[a].tolist()
+                if here != block:
+                    block, claims = here, []
+                rows = batch.slice(a, b - a)
+                if kind == 0:
+                    claims.append([*numbers(rows, "id", "lo", "hi"), unit(rows.column("vec"))])
+                elif claims:
+                    if len(claims) > 1:
+                        claims = [[np.concatenate(x) for x in zip(*claims)]]
+                    yield from score(claims[0], rows)
 
     return run
 
@@ -66,7 +79,7 @@ def link_by_cosine(
     threshold: float = LINK_THRESHOLD,
     window_days: int = 3,
     existing: DataFrame | None = None,
-    block_rows: int = 4096,
+    block_rows: int = 16384,
     existing_via: Via | None = None,
 ) -> DataFrame:
     """``(item_id, claim_id, score)`` of all pairs whose cosine is above ``threshold`` and
@@ -77,13 +90,12 @@ def link_by_cosine(
     left out, and so are pairs of posts and claims that share an article of ``existing_via``.
 
     The window becomes an equi-join on calendar days. Each day is cut into claim blocks
-    and item blocks of about ``block_rows`` rows, so a hot day becomes many tasks of equal,
-    bounded size, and a task multiplies two dense blocks. Pairs below the threshold are
+    of about ``block_rows`` rows and item blocks of four times as many, so a hot day becomes many tasks of
+    bounded size, and a task multiplies dense strips. Pairs below the threshold are
     never turned into rows. All pairs in the window are examined.
 
-    A row is copied once per block of the other side, so larger blocks shuffle less; a task
-    holds two blocks of vectors, one strip of scores and the links found in memory. Links may be a tenth of the
-    square of a block or more, so a block has some thousand rows.
+    A row is copied once per block of the other side. A task holds one block of claims; items and links pass
+    through it in strips, so its memory does not follow the number of links.
     """
     c = claims.filter(F.col("embedding").isNotNull() & F.col("date").isNotNull()).select(
         F.col("claim_id").cast("bigint"),
@@ -101,34 +113,31 @@ def link_by_cosine(
         F.col("embedding").alias("vec"),
     )
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
+    def blocks(df: DataFrame, name: str, rows: int) -> DataFrame:
         n = F.count(F.lit(1))
-        return df.groupBy("day").agg(F.ceil(n / block_rows).cast("int").alias(name))
+        return df.groupBy("day").agg(F.ceil(n / rows).cast("int").alias(name))
 
     # One row per calendar day, so this table has a few thousand rows at any data size.
-    days = F.broadcast(blocks(c, "c_blocks").join(blocks(p, "p_blocks"), "day"))
+    days = F.broadcast(blocks(c, "c_blocks", block_rows).join(blocks(p, "p_blocks", 4 * block_rows), "day"))
 
     def part(id_col: str, n: str):
         return F.pmod(F.xxhash64(id_col), F.col(n)).cast("int")
 
+    keys = [F.unix_date("day").alias("day"), "cb", "pb"]
     c = (
         c.join(days, "day")
         .withColumn("cb", part("claim_id", "c_blocks"))
         .withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)))
-        .select("day", "cb", "pb", "claim_id", "lo", "hi", "vec")
+        .select(*keys, F.lit(0).alias("kind"), F.col("claim_id").alias("id"), "lo", "hi", "vec")
     )
     p = (
         p.join(days, "day")
         .withColumn("pb", part("item_id", "p_blocks"))
         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)))
-        .select("day", "cb", "pb", "item_id", "at", "vec")
-    )
-    keys = ["day", "cb", "pb"]
-    links = (
-        c.groupBy(*keys)
-        .cogroup(p.groupBy(*keys))
-        .applyInArrow(_score_block(threshold), "item_id long, claim_id long, score double")
+        .select(*keys, F.lit(1).alias("kind"), F.col("item_id").alias("id"), F.col("at").alias("lo"), F.col("at").alias("hi"), "vec")
     )
+    dealt = c.unionByName(p).repartition("day", "cb", "pb").sortWithinPartitions("day", "cb", "pb", "kind")
+    links = dealt.mapInArrow(_score_blocks(threshold), "item_id long, claim_id long, score double")
     if existing is not None:
         links = links.join(existing.select("item_id", "claim_id"), ["item_id", "claim_id"], "left_anti")
     if existing_via is not None:
