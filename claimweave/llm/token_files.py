@@ -18,7 +18,9 @@ import re
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark import TaskContext
@@ -35,8 +37,10 @@ MIN_COUNT = 6
 #: Rounds of replacement and new rules of one round.
 ROUNDS = 5
 RULES_A_ROUND = 4096
-#: Distinct words whose ids a Python worker keeps, about 200 bytes each, and as many older ones.
-CACHE_WORDS = 200_000
+#: Distinct words whose ids a Python worker keeps, about 30 bytes each.
+CACHE_WORDS = 400_000
+#: Texts are cut into words in chunks of about so many characters.
+CHUNK_CHARS = 1 << 22
 SHARD_SCHEMA = "part long, seq long, n_docs long, n_ids long, n_symbols long, payload binary"
 DOC_SCHEMA = "part long, seq long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -47,71 +51,113 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
-    """Ids of words as bytes of u32. When the room is full, what is held becomes the older half, and
-    the half before it goes; words of the older half that are met again are kept.
+class WordIds:
+    """Ids of words, and of texts by their words. The words of a chunk of texts are looked up once each; when the
+    room is full, the words of the last chunk alone stay.
 
     The tokenizer's own steps are: normal form, lower case, cut at white space, which is dropped,
     and between letters, digits and other characters; then each piece is encoded for itself.
     So the ids of a text are those of its pieces one after the other, wherever it is cut at
-    blanks and at full stops and commas that stand alone, and pieces of letters only can go
+    blanks and at full stops and commas that stand alone, and pieces of Latin words can go
     straight to the tokenizer's model.
     """
 
     #: A full stop or comma next to another such character, or a special token's start; and the
     #: separators that are white space for this expression and not for the tokenizer.
     ODD = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s].)|(?<=_.))|<\||[\x1c-\x1f]")
+    #: The tokenizer's pieces of a lower-case Latin-1 word, and what only the tokenizer cuts:
+    #: contractions, special tokens, control characters and white space.
+    PIECES = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^0-9a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+    WHOLE = re.compile("'|<\\||[\x00-\x20\x7f-\xa0]")
 
     def __init__(self, path: str, room: int = CACHE_WORDS):
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.room = Tokenizer.from_file(path), room
-        self.older: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         # Byte-level alphabet: the tokenizer's character for each byte.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
-        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-    def pieces(self, text: str) -> list[str]:
+        of_byte = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.alphabet = "".join(of_byte[b] for b in range(256))
+        # The words held, and where in the table the ids of each begin and how many they are.
+        self.words = pa.array([], pa.large_string())
+        self.starts, self.lengths, self.table = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4")
+
+    def prepared(self, text: str) -> str:
+        """The text, where its words may be cut at single blanks."""
         text = text.replace("\n", " ")
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split(" ")
-        if self.ODD.search(text):
-            return text.split(" ")
-        return text.lower().replace(",", " ,").replace(".", " .").split(" ")
-
-    def __missing__(self, w: str) -> bytes:
-        found = self.older.get(w)
-        if found is None:
-            found = self.new_ids(w)
-        if len(self) >= self.room:
-            self.older = dict(self)
-            self.clear()
-        self[w] = found
-        return found
-
-    def new_ids(self, w: str) -> bytes:
+        if not self._latin(text) or self.ODD.search(text):
+            return text
+        return text.lower().replace(",", " ,").replace(".", " .")
+
+    def new_ids(self, w: str) -> list[int]:
         if w.isascii() and w.isalpha() and w.islower():
-            ids = [t.id for t in self.model.tokenize(w)]
-        elif w.isalpha() and w.islower() and self._latin(w):
-            ids = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))]
-        else:
-            ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+            return [t.id for t in self.model.tokenize(w)]
+        if not self._latin(w) or self.WHOLE.search(w):
+            return self.tokenizer.encode(w, add_special_tokens=False).ids
+        pieces = self.PIECES.findall(w.lower())
+        return [t.id for p in pieces for t in self.model.tokenize(charmap_decode(p.encode(), "strict", self.alphabet)[0])]
 
     @staticmethod
     def _latin(w: str) -> bool:
         try:
-            return bool(w.encode("latin-1"))
+            return w.isascii() or bool(w.encode("latin-1"))
         except UnicodeEncodeError:
             return False
 
+    def _look_up(self, words) -> np.ndarray:
+        """The place of each of some distinct words, new ones at the end."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pc.index_in(words, value_set=self.words)
+        new = at.is_null()
+        missing = words.filter(new)
+        found, lengths = array("I"), array("i")
+        for w in missing.to_numpy(zero_copy_only=False):
+            ids = self.new_ids(w)
+            found.extend(ids)
+            lengths.append(len(ids))
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.words) + np.arange(len(lengths))
+        ends = len(self.table) + np.cumsum(lengths, dtype=np.int64)
+        self.starts = np.r_[self.starts, (ends - np.asarray(lengths)).astype(np.int32)]
+        self.lengths = np.r_[self.lengths, np.asarray(lengths)]
+        self.table = np.r_[self.table, np.asarray(found, "<u4")]
+        self.words = pa.concat_arrays([self.words, missing])
+        return at
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pa.array([self.prepared(t) for t in texts], pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        at = self._look_up(words.dictionary)
+        starts, lengths = self.starts[at], self.lengths[at]
+        place = words.indices.to_numpy()
+        n = lengths[place]
+        ends = np.r_[0, np.cumsum(n, dtype=np.int64)]
+        ids = self.table[_runs(starts[place], n)]
+        if len(self.words) > self.room:
+            self.table = self.table[_runs(starts, lengths)]
+            self.starts = (np.cumsum(lengths, dtype=np.int64) - lengths).astype(np.int32)
+            self.words, self.lengths = words.dictionary, lengths
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(text))), "<u4")
+        return self.encode_all([text])[0]
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs that lie somewhere in a table, one run after the other."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+    at += np.repeat(starts - (ends - lengths).astype(np.int32), lengths)
+    return at
 
 
 _KNOWN: dict[str, WordIds] = {}
@@ -135,8 +181,7 @@ def repair(
     the next round.
     """
     seq = ids.astype(np.uint32)
-    head = np.zeros(len(seq), bool)
-    head[doc_starts] = True
+    starts = np.asarray(doc_starts, np.int64)
     rules: list[np.ndarray] = []
     top, limit = base, 65536 if base < 60000 else 2**31
     wide = np.uint64 if limit > 65536 else np.uint32
@@ -145,8 +190,8 @@ def repair(
         if len(seq) < 2 or top >= limit:
             break
         keys = (seq[:-1].astype(wide) << shift) | seq[1:]
-        inside = ~head[1:]
-        ordered = np.sort(keys[inside])
+        # Documents are never empty (each ends with the end id), so every one has a first symbol.
+        ordered = np.sort(np.delete(keys, starts[1:] - 1))
         if not len(ordered):
             break
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
@@ -156,20 +201,22 @@ def repair(
             break
         best = often[np.argsort(-counts[often], kind="stable")][: min(rules_a_round, limit - top)]
         pairs, weight = ordered[first[best]], np.minimum(counts[best], 2**31 - 1).astype(np.int64)
-        # A table by hash finds the pairs; of two with one place the more frequent stays.
-        table = np.full(1 << 20, -1, np.int32)
-        table[_place(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
-        where = np.flatnonzero(inside)
-        at = table[_place(keys[where])]
-        hit = at >= 0
-        where, at = where[hit], at[hit]
-        same = pairs[at] == keys[where]
-        where, at = where[same], at[same]
+        # A table by hash finds the pairs; of two with one place the more frequent stays. Empty places name the
+        # first pair, so the key decides in any case.
+        kind = np.uint16 if len(pairs) <= 65536 else np.uint32
+        table = np.zeros(1 << 18, kind)
+        table[_place(pairs)[::-1]] = np.arange(len(pairs), dtype=kind)[::-1]
+        at = table[_place(keys)]
+        same = pairs[at] == keys
+        same[starts[1:] - 1] = False
+        where = np.flatnonzero(same)
+        at = at[where]
         noise = (where.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        rank = np.zeros(len(keys) + 2, np.int64)
-        own = (weight[at] << 24) + noise.astype(np.int64) + 1
-        rank[where + 1] = own
-        chosen = (own > rank[where]) & (own >= rank[where + 2])
+        rank = (weight[at] << 24) + noise.astype(np.int64) + 1
+        beside = where[1:] == where[:-1] + 1
+        chosen = np.ones(len(where), bool)
+        chosen[1:] &= ~beside | (rank[1:] > rank[:-1])
+        chosen[:-1] &= ~beside | (rank[:-1] >= rank[1:])
         taken, at = where[chosen], at[chosen]
         if len(taken) * 100 < len(seq):  # a round that saves less than a hundredth is the last
             break
@@ -178,18 +225,15 @@ def repair(
         rules.append(np.stack([pairs[uses] >> shift, pairs[uses] & wide(limit - 1 if limit == 65536 else 0xFFFFFFFF)], 1).astype(np.int64))
         seq[taken] = (top + number[at]).astype(np.uint32)
         top += int(uses.sum())
-        keep = np.ones(len(seq), bool)
-        keep[taken + 1] = False
-        seq, head = seq[keep], head[keep]
-    # Documents are never empty (each ends with the end id), so every one has a first symbol.
-    starts = np.r_[np.flatnonzero(head), len(seq)]
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), starts
+        seq = np.delete(seq, taken + 1)
+        starts = starts - np.searchsorted(taken, starts)
+    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.r_[starts, len(seq)]
 
 
 def _place(keys: np.ndarray) -> np.ndarray:
     if keys.dtype == np.uint32:
-        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(12)
-    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(14)
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -245,16 +289,25 @@ class Shard:
         out[rule] = self.lengths[symbols[rule] - self.base]
         return out
 
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        while len(symbols):
-            rule = symbols >= self.base
-            if not rule.any():
-                break
+    @cached_property
+    def expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that the rules expand to, one rule after the other, and where each begins."""
+        symbols = self.base + np.arange(len(self.rules))
+        while (rule := symbols >= self.base).any():
             out = np.repeat(symbols, 1 + rule)
             left = np.cumsum(1 + rule)[rule] - 2
             out[left], out[left + 1] = self.rules[symbols[rule] - self.base].T
             symbols = out
-        return symbols.astype("<u4")
+        return symbols.astype("<u4"), np.cumsum(self.lengths) - self.lengths
+
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        ids, begins = self.expansions
+        n = self._sizes(symbols)
+        out = np.repeat(symbols.astype("<u4"), n)
+        rule = np.flatnonzero(symbols >= self.base)
+        length, before = n[rule], (np.cumsum(n) - n)[rule]
+        out[_runs(before.astype(np.int32), length)] = ids[_runs(begins[symbols[rule] - self.base].astype(np.int32), length)]
+        return out
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the shard: expansion lengths say which symbols hold them."""
@@ -273,6 +326,21 @@ class Shard:
             yield doc, int(a), ids[a:b]
 
 
+def encoded(words: WordIds, batches, chars: int = CHUNK_CHARS) -> Iterator[tuple]:
+    """Doc id and ids of each text, chunk by chunk."""
+    for batch in batches:
+        docs, texts, size = [], [], 0
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            docs.append(doc)
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size >= chars:
+                yield from zip(docs, words.encode_all(texts))
+                docs, texts, size = [], [], 0
+        if docs:
+            yield from zip(docs, words.encode_all(texts))
+
+
 def _encoder(path: str, end_id: int, shard_ids: int, **grammar):
     def encode(batches):
         import pyarrow as pa
@@ -291,15 +359,14 @@ def _encoder(path: str, end_id: int, shard_ids: int, **grammar):
             names = ["part", "seq", "n_docs", "n_ids", "n_symbols", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=names)
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(words.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
-                docs.append(doc)
-                arrays.append(ids)
-                held += len(ids)
-                if held >= shard_ids:
-                    yield close()
-                    docs, arrays, held, seq = [], [], 0, seq + 1
+        for doc, found in encoded(words, batches):
+            ids = np.append(found, np.uint32(end_id)).astype("<u4")
+            docs.append(doc)
+            arrays.append(ids)
+            held += len(ids)
+            if held >= shard_ids:
+                yield close()
+                docs, arrays, held, seq = [], [], 0, seq + 1
         if docs:
             yield close()
         docs, arrays = [], []

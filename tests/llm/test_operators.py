@@ -258,6 +258,20 @@ def test_words_are_encoded_like_texts(text):
     assert token_files.WordIds(path, room=3).encode(text).tolist() == want
 
 
+def test_distinct_words_of_a_chunk_are_encoded_once():
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path()
+    words, library = token_files.WordIds(path, room=6), Tokenizer.from_file(path)
+    new, asked = words.new_ids, []
+    words.new_ids = lambda w: asked.append(w) or new(w)
+    for texts in (["ab cd ab", "", "Tion$$$ ab été2", "cd"], ["ab x y z", "Œ ab"], ["ab cd"]):
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [ids.tolist() for ids in words.encode_all(texts)] == want
+    # The third chunk makes the words too many for the room after the second: its own stayed.
+    assert sorted(asked) == sorted(["ab", "cd", "", "tion$$$", "été2", "x", "y", "z", "Œ", "cd"])
+
+
 def test_repair_round_trip_and_random_access():
     rnd = np.random.default_rng(4)
     for vocabulary, base in ((3, 10), (50, 49_408), (40, 70_000), (1, 5)):
