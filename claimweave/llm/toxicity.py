@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import fit_logistic, one_label, unit_hash
+from claimweave.llm.common import fit_logistic, one_label, release_memory, text_batches, unit_hash
 from claimweave.session import cut_lineage
 
 #: About so many labelled documents of each class at most are read for training, and at most so
@@ -171,7 +171,8 @@ def training_texts(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
     found = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     parts = found.mapInArrow(_some_words, "doc_id long, text string, label int").orderBy("doc_id")
-    return [(r.text, r.label) for r in parts.collect()]
+    with text_batches(docs.sparkSession):
+        return [(r.text, r.label) for r in parts.collect()]
 
 
 def _some_words(batches):
@@ -190,30 +191,41 @@ def _some_words(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "label"])
 
 
+def _rating(model: Detector):
+    """Scores of a batch of texts; the compressors are made once a task."""
+    plain_c, toxic_c = compressors(model) if model.ordinary else (None, None)
+    mean, dev, w = (np.array(v) for v in (model.mean, model.deviation, model.weights))
+
+    def rate(texts) -> list[float]:
+        scores = []
+        for text in texts:
+            if plain_c is None:
+                z = w[-1]
+            else:
+                f = np.array(savings_features(windows(text.as_py()), plain_c, toxic_c))
+                z = (f - mean) / dev @ w[:-1] + w[-1]
+            scores.append(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        return scores
+
+    return rate
+
+
 def score_toxicity(docs: DataFrame, model: Detector) -> DataFrame:
     """The columns of ``docs`` without the text, ``score`` and ``predicted``."""
 
-    def rate(batches):
+    def run(batches):
         import pyarrow as pa
 
-        plain_c, toxic_c = compressors(model) if model.ordinary else (None, None)
-        mean, dev, w = (np.array(v) for v in (model.mean, model.deviation, model.weights))
+        rate = _rating(model)
         for batch in batches:
-            scores = []
-            for text in batch.column("text"):
-                if plain_c is None:
-                    z = w[-1]
-                else:
-                    f = np.array(savings_features(windows(text.as_py()), plain_c, toxic_c))
-                    z = (f - mean) / dev @ w[:-1] + w[-1]
-                scores.append(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+            scores = rate(batch.column("text"))
             columns = {n: batch.column(n) for n in batch.schema.names if n != "text"}
             columns["score"] = pa.array(scores, pa.float64())
             columns["predicted"] = pa.array([int(s >= 0.5) for s in scores], pa.int32())
             yield pa.RecordBatch.from_pydict(columns)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(rate, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> DataFrame:
@@ -231,5 +243,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, t
 def drop_toxic(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
     model = train_detector(training_texts(docs, labels, train_docs), train_windows)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return score_toxicity(docs.select(row, "text"), model).where("predicted = 0").select("row.*")
+
+    def harmless(batches):
+        import pyarrow as pa
+
+        rate = _rating(model)
+        for batch in batches:
+            yield batch.filter(pa.array([s < 0.5 for s in rate(batch.column("text"))], pa.bool_()))
+        release_memory()
+
+    # Written here, so that small batches hold whoever reads the rows; a text goes to the workers once.
+    with text_batches(docs.sparkSession):
+        return cut_lineage(docs.mapInArrow(harmless, docs.schema))

@@ -128,6 +128,23 @@ def test_toxicity_finds_held_out(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {900, 901, 902}
 
 
+def test_harmless_rows_are_picked_in_small_batches(spark, monkeypatch):
+    def rating(model):
+        def rate(texts):
+            assert len(texts) <= 2000
+            return [float(t.as_py() == "bad") for t in texts]
+
+        return rate
+
+    monkeypatch.setattr(toxicity, "_rating", rating)
+    docs = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 'bad', 'good') as text", "id as `a b`").repartition(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = toxicity.drop_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    assert kept.count() == 4000 and kept.where("doc_id % 3 = 0 or `a b` <> doc_id").count() == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_toxicity_without_classes(spark):
     docs = documents(spark, [(1, "a b", None), (2, None, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
