@@ -256,6 +256,21 @@ def test_classifier(spark):
     assert 1 / 3 < got["TRUE"][1] <= 1 and got[None][1] is None
 
 
+def test_training_counts_the_words_of_a_text_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(text):
+        seen.add(1)
+        return text.split()
+
+    spark.udf.register("noted_words", note, "array<string>")
+    monkeypatch.setattr(models, "_words", lambda: models.SQLTransformer(statement="SELECT *, noted_words(_doc) AS _words FROM __THIS__"))
+    ann = spark.createDataFrame([(f"{w} {i}", v) for i in range(10) for w, v in (("true", "factual"), ("hoax", "misinformation"), ("so", "other"))], "raw_verdict string, verdict string")
+    copies = models.case_variants(ann).count()
+    models.train_verdict_classifier(ann, 1 << 8)
+    assert seen.value == copies
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1)], "label int, prediction int")
     m = models.classifier_metrics(df).first()
