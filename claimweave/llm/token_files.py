@@ -38,9 +38,11 @@ MIN_COUNT = 6
 ROUNDS = 5
 RULES_A_ROUND = 4096
 #: Distinct words whose ids a Python worker keeps, about 30 bytes each.
-CACHE_WORDS = 400_000
-#: Texts are cut into words in chunks of about so many characters.
-CHUNK_CHARS = 1 << 22
+CACHE_WORDS = 200_000
+#: Texts are cut into words in chunks of about so many characters, of one batch or several.
+CHUNK_CHARS = 1 << 21
+#: Rows of a batch on its way to the encoder; its buffers are held on both sides.
+BATCH_ROWS = 500
 SHARD_SCHEMA = "part long, seq long, n_docs long, n_ids long, n_symbols long, payload binary"
 DOC_SCHEMA = "part long, seq long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -328,17 +330,24 @@ class Shard:
 
 def encoded(words: WordIds, batches, chars: int = CHUNK_CHARS) -> Iterator[tuple]:
     """Doc id and ids of each text, chunk by chunk."""
+
+    def chunk():
+        found = words.encode_all(texts)
+        texts.clear()
+        release_memory()  # else Arrow and numpy each keep room for the largest chunk while a shard is packed
+        return zip(docs, found)
+
+    docs, texts, size = [], [], 0
     for batch in batches:
-        docs, texts, size = [], [], 0
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             docs.append(doc)
             texts.append(text.as_py())
             size += len(texts[-1])
             if size >= chars:
-                yield from zip(docs, words.encode_all(texts))
-                docs, texts, size = [], [], 0
-        if docs:
-            yield from zip(docs, words.encode_all(texts))
+                yield from chunk()
+                docs, size = [], 0
+    if docs:
+        yield from chunk()
 
 
 def _encoder(path: str, end_id: int, shard_ids: int, **grammar):
@@ -393,7 +402,7 @@ def write_token_shards(
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     encode = _encoder(tokenizer or tokenizer_path(), end_id, shard_ids, rounds=rounds, rules_a_round=rules_a_round, min_count=min_count)
     ordered = rows.repartitionByRange(*key).sortWithinPartitions(*key)
-    with text_batches(docs.sparkSession):
+    with text_batches(docs.sparkSession, BATCH_ROWS):
         ordered.mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)
 
 

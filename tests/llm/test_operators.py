@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +258,35 @@ def test_token_shards_hold_all_ids(spark, awkward):
     assert order == sorted(order, key=lambda x: (x is not None, x))
 
 
+def test_token_files_bound_what_a_worker_holds(spark, monkeypatch):
+    words, asked = token_files.WordIds(token_files.tokenizer_path()), []
+    many = [pa.RecordBatch.from_pydict({"doc_id": [2 * i, 2 * i + 1], "text": [f"word {i}", "again"]}) for i in range(5)]
+    want = [(d, words.encode(t).tolist()) for b in many for d, t in zip(*b.to_pydict().values())]
+    plain = words.encode_all
+    monkeypatch.setattr(words, "encode_all", lambda texts: asked.append(list(texts)) or plain(texts))
+    # A chunk may hold several batches, and what it holds is bounded by its characters.
+    assert [(d, ids.tolist()) for d, ids in token_files.encoded(words, many, 20)] == want
+    assert [len(a) for a in asked] == [4, 4, 2]
+
+    def sizes(*_, **__):
+        def run(batches):
+            for b in batches:
+                row = pa.array([b.num_rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([row] * 5 + [pa.array([b""])], names=["part", "seq", "n_docs", "n_ids", "n_symbols", "payload"])
+
+        return run
+
+    monkeypatch.setattr(token_files, "_encoder", sizes)
+    path, partitions = own_folder(spark, "batch-sizes"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        token_files.write_token_shards(documents(spark, [(i, f"text {i}", None) for i in range(1200)]), path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    rows = [r.n_docs for r in spark.read.parquet(path).collect()]
+    assert sum(rows) == 1200 and max(rows) <= 500
+
+
 def test_token_shards_of_nothing(spark):
     path = own_folder(spark, "t")
     token_files.write_token_shards(documents(spark, []), path)
