@@ -14,6 +14,8 @@ WINDOW = 8
 LITERALS = 5
 #: An item is in a document if so large a share of its windows is there.
 COVERAGE = 0.5
+#: Words of a text in which windows begin that travel together for the comparison of slots.
+PIECE = 256
 
 # Slots, by characters of the private use area.
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
@@ -113,6 +115,16 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int
     return by_template.select(*columns).union(by_words.select(*columns)).join(counts, "item_id")
 
 
+def hit_pieces(docs: DataFrame, hits: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``d, p, dw``: the marked words from place ``p * PIECE`` on, for windows of ``hits(doc_id, dpos)`` that begin
+    in that piece of a text. Only pieces with a hit travel, each a row of bounded size, however long its text."""
+    pieces = hits.select("doc_id", F.floor(F.col("dpos") / PIECE).cast("int").alias("piece")).distinct()
+    ids = cut_lineage(pieces.groupBy("doc_id").agg(F.collect_set("piece").alias("pieces")))
+    found = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(small(ids), F.col("d").eqNullSafe(F.col("doc_id")))
+    said = found.select("d", F.explode("pieces").alias("p"), marked_words(F.col("text")).alias("dw"))
+    return said.select("d", "p", F.slice("dw", F.col("p") * PIECE + 1, F.lit(PIECE + window - 1)).alias("dw")).distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, item_id, windows, item_windows, changed``: items that documents contain.
 
@@ -151,14 +163,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     beside = beside.select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("shift")).distinct()
     beside = beside.join(small(slots_only), "item_id").withColumn("dpos", F.col("shift") + F.col("ipos")).withColumn("exact", F.lit(False))
     hits = cut_lineage(hits.union(beside.where("dpos >= 0").select(*columns)))
-    ids = cut_lineage(hits.select("doc_id").distinct())
-    found = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(small(ids), F.col("d").eqNullSafe(F.col("doc_id")), "left_semi")
     # Rows that share an id: slots are compared in the text that has the window.
-    said = found.select("d", marked_words(F.col("text")).alias("dw"), template_words(F.col("text")).alias("dt")).distinct()
-    item = benchmark.select(F.col("item_id").cast("long").alias("i"), marked_words(F.col("text")).alias("iw"), template_words(F.col("text")).alias("it"))
-    both = hits.join(said, F.col("doc_id").eqNullSafe(F.col("d"))).join(item, F.col("item_id") == F.col("i"))
-    cut = lambda c, at: F.slice(c, F.col(at) + 1, F.col("size"))
-    both = both.select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"), "n_windows", "k", "literal", "exact", cut("dw", "dpos").alias("dv"), cut("dt", "dpos").alias("dt"), cut("iw", "ipos").alias("iv"), cut("it", "ipos").alias("it"))
+    said = hit_pieces(docs, hits, window)
+    piece = F.floor(F.col("dpos") / PIECE).cast("int")
+    item = benchmark.select(F.col("item_id").cast("long").alias("i"), marked_words(F.col("text")).alias("iw"))
+    both = hits.join(said, F.col("doc_id").eqNullSafe(F.col("d")) & (piece == F.col("p"))).join(item, F.col("item_id") == F.col("i"))
+    cut = lambda c, at: F.slice(c, at + 1, F.col("size"))
+    both = both.select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"), "n_windows", "k", "literal", "exact", cut("dw", F.col("dpos") % PIECE).alias("dv"), cut("iw", F.col("ipos")).alias("iv"))
+    both = both.withColumns({"dt": _template(F.col("dv")), "it": _template(F.col("iv"))})
     both = both.withColumn("same", _exact(F.col("iv")) == _exact(F.col("dv")))
     # What is found by its template is not counted a second time by its words.
     both = both.where("(dt = it and not exact) or (same and not (dt = it and literal and exact))")

@@ -543,6 +543,22 @@ def test_items_of_numbers_and_names(spark):
     assert got[102, 6].changed and got[10, 1].item_windows == 3
 
 
+def test_only_pieces_of_long_texts_travel(spark):
+    """Slots are compared in pieces of bounded size around the windows, also where a window lies across two of them."""
+    item = "he had 40 red apples and gave 15 of them to his sister on the way to the old school"
+    fill = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(6000)]
+    rows = [(at, " ".join([*fill[:at], item.replace("40", "41") if at % 2 else item, *fill[at:]])) for at in (0, 1, 240, 249, 255, 256, 5000, 6000)]
+    docs = spark.createDataFrame([*rows, (None, item), (7, " ".join(fill))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == {at for at, _ in rows} | {None}
+    assert all(r.windows == r.item_windows and r.changed == bool(d and d % 2) for d, r in got.items())
+    hits = spark.createDataFrame([(5000, 5000), (5000, 5100), (255, 255), (255, 256)], "doc_id long, dpos int")
+    pieces = decontaminate.hit_pieces(docs, hits).collect()
+    assert sorted((r.d, r.p) for r in pieces) == [(255, 0), (255, 1), (5000, 19)]
+    assert max(len(r.dw) for r in pieces) == decontaminate.PIECE + decontaminate.WINDOW - 1
+
+
 def test_slots(spark):
     row = spark.range(1).select(F.lit("We met John Smith, 12.5 km from St. Paul; 3 kg and 4kg, 1,000 x2y").alias("t"))
     marked, template = row.select(decontaminate.marked_words(F.col("t")).alias("m"), decontaminate.template_words(F.col("t")).alias("t")).first()
