@@ -6,8 +6,8 @@ has n shingles, so they share at least T = ceil(0.8 n). The join is exact:
 1. Each text becomes its set of shingle hashes; documents with equal sets are one class.
 2. All shingles have one order, common ones last. By the prefix principle linked sets share at
    least l shingles among their first n - T + l. These shingles are dealt by hash as inverted
-   lists. Classes that meet in at least l short lists are candidates of each other; the
-   classes of a long list are all put into one candidate group.
+   lists. Classes that meet in at least l short lists are candidates of each other; of a long list
+   those classes that are in at least l long ones are all put into one candidate group.
 3. Within a candidate group, cut into blocks, a T-occurrence search (DivideSkip) over the whole
    sets finds the links: short lists are merged with a heap, long ones are probed by binary
    search. Every pair of blocks whose sizes allow a link meets once, so all links are found and
@@ -285,7 +285,7 @@ def common_shingles(docs: DataFrame, words: int, sample: int = SAMPLE, least: in
 
 def _meet(long_: int):
     """Reads inverted lists (``s, doc, n``, sorted) and emits what meets in them: pairs of short
-    lists, counted, and for a long list each class with the list's first one, marked by no count."""
+    lists, counted, and for a long list each class with the list's shingle, marked by no count."""
 
     def meet(batches):
         import pyarrow as pa
@@ -320,14 +320,14 @@ def _meet(long_: int):
                 yield table(both[new[x], 0], both[new[x], 1], counts[x])
 
         s, doc, n = (np.zeros(0, np.int64) for _ in range(3))
-        hub = None  # (shingle, first class) of a long list that goes on
+        hub = None  # shingle of a long list that goes on
         for batch in batches:
             s, doc, n = (np.r_[x, batch.column(i).to_numpy()] for i, x in enumerate((s, doc, n)))
             again = np.r_[False, (s[1:] == s[:-1]) & (doc[1:] == doc[:-1])]  # repeated rows
             s, doc, n = s[~again], doc[~again], n[~again]
             if hub is not None:
-                go = int(np.searchsorted(s != hub[0], True)) if (s != hub[0]).any() else len(s)
-                yield table(doc[:go], np.full(go, hub[1]), np.zeros(go, np.int32))
+                go = int(np.searchsorted(s != hub, True)) if (s != hub).any() else len(s)
+                yield table(doc[:go], s[:go], np.zeros(go, np.int32))
                 s, doc, n = s[go:], doc[go:], n[go:]
                 if not len(s):
                     continue
@@ -335,11 +335,11 @@ def _meet(long_: int):
             first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             size = np.diff(np.r_[first, len(s)])
             for f, k in zip(first[size > long_], size[size > long_]):
-                yield table(doc[f : f + k], np.full(k, doc[f]), np.zeros(k, np.int32))
+                yield table(doc[f : f + k], s[f : f + k], np.zeros(k, np.int32))
             last = first[-1]
             yield from pairs(s[:last], doc[:last], n[:last])
             if size[-1] > long_:
-                hub = (s[-1], doc[last])
+                hub = s[-1]
                 last = len(s)
             s, doc, n = s[last:], doc[last:], n[last:]
         if len(s):
@@ -358,19 +358,26 @@ def candidate_groups(classes: DataFrame, percent: int = PERCENT, long_: int = LO
     postings = classes.select(F.explode("prefix").alias("s"), "node", "n")
     ordered = postings.repartition("s").sortWithinPartitions("s", "n", "node")
     met = cut_lineage(ordered.mapInArrow(_meet(long_), "a long, b long, c int"))
-    stars = met.where("c = 0 and a <> b").select("a", "b").distinct()
-    # The lists of a class that are long can't be counted for a pair: a class that is in some is
-    # joined to their first classes above. Pairs within short lists need what is left of l.
+    # The lists of a class that are long can't be counted for a pair. Pairs within short lists need what is
+    # left of l.
     n_long = met.where("c = 0").groupBy("a").agg(F.count(F.lit(1)).alias("many"))
     sizes = cut_lineage(classes.select("node", "n"))
     counted = met.where("c > 0").groupBy("a", "b").agg(F.sum("c").alias("c"))
     known = sizes.join(n_long, sizes.node == n_long.a, "left").select("node", F.col("n"), F.coalesce("many", F.lit(0)).alias("many"))
     la, lb = known.toDF("a", "na", "ma"), known.toDF("b", "nb", "mb")
-    least = lambda n: F.least(F.greatest(F.lit(1), F.ceil(F.col(n) * percent / 100)), 1 + F.floor(F.col(n) / 25))
-    enough = F.col("c") + F.least("ma", "mb") >= F.least(least("na"), least("nb"))
+    needs = lambda n: F.greatest(F.lit(1), F.ceil(n * percent / 100))
+    least = lambda n: F.least(needs(n), 1 + F.floor(n / 25))
+    enough = F.col("c") + F.least("ma", "mb") >= F.least(least(F.col("na")), least(F.col("nb")))
     pairs = counted.join(la, "a").join(lb, "b").where(enough).select("a", "b")
-    groups = components(pairs.union(stars))
-    return groups.join(sizes, "node")
+    # Linked classes that meet in no short list, or in too few, are both in as many long lists as l asks of the smallest
+    # set that links with them. Only such classes go into a group with others of a long list: one long list
+    # in common says little of two large sets, and would chain unrelated ones to groups that grow with the table.
+    many = cut_lineage(known.where(F.col("many") >= least(needs(F.col("n")))).select("node"))
+    # Shingles stand for their lists; one that is the name of a class as well makes a group larger and no link less.
+    stars = met.where("c = 0").join(many, F.col("a") == F.col("node"), "left_semi").select("a", "b")
+    groups = components(pairs.union(stars)).join(sizes, "node")
+    alone = groups.groupBy("component").agg(F.count(F.lit(1)).alias("_size")).where("_size = 1").select("component")
+    return groups.join(alone, "component", "left_anti").select("node", "component", "n")
 
 
 def _search(words: int, percent: int, paired: bool):

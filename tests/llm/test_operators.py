@@ -543,6 +543,18 @@ def test_items_of_numbers_and_names(spark):
     assert got[102, 6].changed and got[10, 1].item_windows == 3
 
 
+def test_one_common_shingle_makes_no_group(spark):
+    """Large sets of which more than a list's worth share one shingle are no candidates; those that share enough are."""
+    loose = [(i, 500, [-7, *range(1000 * i, 1000 * i + 100)]) for i in range(1, 101)]
+    near = [(i, 500, [*range(-160, -100), *range(1000 * i, 1000 * i + 60)]) for i in range(201, 301)]
+    tiny = [(i, 3, [-8]) for i in range(401, 471)]
+    classes = spark.createDataFrame(loose + near + tiny, "node long, n long, prefix array<long>")
+    got = {}
+    for r in ngram_join.candidate_groups(classes).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == [[*range(201, 301)], [*range(401, 471)]]
+
+
 def test_only_pieces_of_long_texts_travel(spark):
     """Slots are compared in pieces of bounded size around the windows, also where a window lies across two of them."""
     item = "he had 40 red apples and gave 15 of them to his sister on the way to the old school"
